@@ -1,7 +1,7 @@
 """The queries of this folder and the SQL of those that SQL can express."""
 
-from . import packing, quality_model, quality_rules, token_counts, url_filter
+from . import bpe, packing, quality_model, quality_rules, token_counts, url_filter
 
-_MODULES = (quality_model, url_filter, token_counts, packing, quality_rules)
+_MODULES = (bpe, quality_model, url_filter, token_counts, packing, quality_rules)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in getattr(m, "ORACLE_SQL", {}).items()}
