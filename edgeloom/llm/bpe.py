@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from .base import pack, table
 from .wordblocks import Block, bring_back, look_up, store
 
-#: So many word positions of a block are turned into ids at a time.
-STEP = 400_000
-
 _tables: dict = {}
 
 
@@ -55,38 +52,23 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for t in texts:
             yield [w.encode() for w in find(t)]
 
-    def answer(words: list[list[bytes]]):
+    def answer(part: int, words: list):
         piece, known, out = _encoding(path, pattern)._core_bpe.encode_single_piece, {}, []
-        for own in words:
+        for own, _ in words:
             found = []
             for w in own:
                 if (ids := known.get(w)) is None:
                     ids = known[w] = np.array(piece(w), "<u4").tobytes()
                 found.append(ids)
             out.append(pack(np.fromiter((len(x) >> 2 for x in found), np.uint32, len(found)), np.frombuffer(b"".join(found), "<u4")))
-        return out, ()
+        return out, {}
 
     def finish(b: Block) -> pa.Table:
-        lengths, ids = b.column(0).astype(np.int64), b.column(1)
-        start, n = np.empty_like(lengths), np.empty_like(lengths)
-        start[b.order], n[b.order] = np.cumsum(lengths) - lengths, lengths
-        out: list[bytes] = []
-        at = 0
-        while at < len(b.lengths):
-            begin = int(b.ends[at]) - int(b.lengths[at])
-            to = max(at + 1, int(np.searchsorted(b.ends, begin + STEP, side="right")))
-            words = b.words[begin : int(b.ends[to - 1])]
-            each = n[words]
-            ends = np.cumsum(each)
-            flat = ids[np.repeat(start[words] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u4").tobytes()
-            bounds = np.r_[0, ends][b.ends[at:to] - begin] * 4
-            for a, z in zip([0, *bounds[:-1].tolist()], bounds.tolist(), strict=True):
-                out.append(flat[a:z])
-            at = to
+        out = b.sequences()
         return pa.table({"doc_id": b.ids, "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
 
     blocks = store(docs, words_of)
-    return bring_back(blocks, look_up(blocks, answer), finish, "doc_id long, n_tokens long, ids binary")
+    return bring_back(blocks, [look_up(blocks, answer)], finish, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

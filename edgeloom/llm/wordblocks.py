@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .base import GROUP_BYTES, id_and_text, pack, parts_for, saved, text_bytes, unpack
 
+#: So many word positions of a block are turned into ids at a time.
+STEP = 400_000
+
 
 class _Numbers(dict):
     def __missing__(self, word):
@@ -25,29 +28,34 @@ class _Numbers(dict):
         return n
 
 
-def pack_words(words: list[bytes]) -> bytes:
-    return pack(np.fromiter(map(len, words), np.uint32, len(words)), np.frombuffer(b"".join(words), np.uint8), level=3)
+def pack_words(words: list[bytes], counts: np.ndarray) -> bytes:
+    return pack(np.fromiter(map(len, words), np.uint32, len(words)), np.frombuffer(b"".join(words), np.uint8), counts, level=3)
 
 
-def unpack_words(blob: bytes) -> list[bytes]:
-    lengths, data = unpack(blob)
+def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    lengths, data, counts = unpack(blob)
     data, ends = data.tobytes(), np.cumsum(lengths, dtype=np.int64)
-    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], counts
 
 
-def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, parts: int) -> tuple:
+def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, parts: int, counted: Callable | None) -> tuple:
     words = list(numbers)
+    own = [p for i, p in zip(ids, positions, strict=True) if counted and counted(i)]
+    counts = np.bincount(np.concatenate(own), minlength=len(words)) if own else np.zeros(len(words), np.int64)
     part = np.fromiter((zlib.crc32(w) % parts for w in words), np.uint32, len(words))
     order = np.argsort(part, kind="stable")
     ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
-    blobs = [pack_words([words[k] for k in order[a:b].tolist()]) if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    blobs = [pack_words([words[k] for k in order[a:b].tolist()], counts[order[a:b]]) if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     null = np.array([x is None for x in ids], np.uint8)
     docs = pack(np.array([x or 0 for x in ids], np.int64), null, np.fromiter(map(len, positions), np.uint32, len(positions)), np.concatenate(positions), part)
     return number, docs, blobs
 
 
-def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]], block_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(block, docs, words) for docs(doc_id, text); words_of gives the words of each text of a batch."""
+def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]], counted: Callable | None = None, block_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(block, docs, words) for docs(doc_id, text); words_of gives the words of each text of a batch.
+
+    counted: whether the words of the document of an id are to be counted; the counts of a block stand beside its words.
+    """
     given = id_and_text(docs)
     parts = parts_for(text_bytes(given), block_bytes)
 
@@ -56,7 +64,7 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
         ids, positions, numbers, size = [], [], _Numbers(), 0
 
         def out():
-            b = _block(base + n, ids, positions, numbers, parts)
+            b = _block(base + n, ids, positions, numbers, parts, counted)
             return pa.record_batch([pa.array([x], t) for x, t in zip(b, (pa.int64(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["block", "docs", "words"])
 
         for b in batches:
@@ -66,7 +74,7 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
                 for doc, text, words in zip(own.column(0).to_pylist(), texts, words_of(texts), strict=True):
                     ids.append(doc)
                     positions.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                    size += len(text)
+                    size += len(text) + 64
                 if size >= block_bytes:
                     yield out()
                     n += 1
@@ -77,46 +85,70 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
     return saved(given.mapInArrow(run, "block long, docs binary, words array<binary>"), (parts, "block"))
 
 
-def look_up(blocks: DataFrame, answer: Callable[[list[list[bytes]]], tuple[list[bytes], tuple]], extra: str = "") -> DataFrame:
+def look_up(blocks: DataFrame, answer: Callable, extra: str = "") -> DataFrame:
     """(block, part, values, ...) for each block and part.
 
-    answer: from the words of all blocks in a part, a list for each block, to a blob of values for each block in the order of its words,
-    and the values of the extra columns, which are the same for the whole part.
+    answer(part, words): from a list of (words, counts) for each block in a part, to a blob of values for each block in the order of its
+    words, and the values of the extra columns, which belong to the whole part and are null in all its rows but one.
     """
     pieces = blocks.select("block", F.posexplode("words").alias("part", "words")).where("words is not null")
 
     def run(t: pa.Table) -> pa.Table:
-        blobs, more = answer([unpack_words(x) for x in t["words"].to_pylist()])
+        blobs, more = answer(t["part"][0].as_py(), [unpack_words(x) for x in t["words"].to_pylist()])
         columns = {"block": t["block"], "part": t["part"].cast(pa.int32()), "values": pa.array(blobs, pa.binary())}
-        return pa.table(columns | {f"x{k}": pa.array([v] * t.num_rows) for k, v in enumerate(more)})
+        return pa.table(columns | {name: pa.array([v] + [None] * (t.num_rows - 1)) for name, v in more.items()})
 
     return pieces.groupBy("part").applyInArrow(run, f"block long, part int, values binary{extra}")
 
 
 class Block:
-    """A block with the blobs that came back: ids (None where null), lengths and word numbers of its documents."""
+    """A block with the blobs that came back, by kind: ids (null ones too), lengths and word numbers of its documents."""
 
     def __init__(self, left: pa.Table, right: pa.Table):
+        self.number = left["block"][0].as_py()
         doc, null, self.lengths, self.words, self.part = unpack(left["docs"][0].as_py())
         self.ids = pa.array(doc, mask=null.astype(bool))
         self.order = np.argsort(self.part, kind="stable")
-        rows = sorted(zip(right["part"].to_pylist(), right["values"].to_pylist(), strict=True))
-        self.blobs = [unpack(v) for _, v in rows]
+        self.blobs: dict[int, list] = {}
+        for kind, part, v in sorted(zip(right["kind"].to_pylist(), right["part"].to_pylist(), right["values"].to_pylist(), strict=True)):
+            self.blobs.setdefault(kind, []).append((part, unpack(v)))
         self.ends = np.cumsum(self.lengths, dtype=np.int64)
 
-    def column(self, k: int) -> np.ndarray:
-        """The k-th array of all blobs, in the order of the parts."""
-        return np.concatenate([b[k] for b in self.blobs]) if self.blobs else np.empty(0, np.int64)
+    def column(self, k: int, kind: int = 0) -> np.ndarray:
+        """The k-th array of all blobs of a kind, in the order of the parts."""
+        return np.concatenate([b[k] for _, b in self.blobs[kind]]) if kind in self.blobs else np.empty(0, np.int64)
+
+    def sequences(self, kind: int = 0) -> list[bytes]:
+        """For each document the ids of its words in turn, where a word's values are its number of ids and the ids."""
+        lengths, ids = self.column(0, kind).astype(np.int64), self.column(1, kind)
+        start, n = np.empty_like(lengths), np.empty_like(lengths)
+        start[self.order], n[self.order] = np.cumsum(lengths) - lengths, lengths
+        out: list[bytes] = []
+        at = 0
+        while at < len(self.lengths):
+            begin = int(self.ends[at]) - int(self.lengths[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + STEP, side="right")))
+            words = self.words[begin : int(self.ends[to - 1])]
+            each = n[words]
+            ends = np.cumsum(each)
+            flat = ids[np.repeat(start[words] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u4").tobytes()
+            bounds = np.r_[0, ends][self.ends[at:to] - begin] * 4
+            out += [flat[a:z] for a, z in zip([0, *bounds[:-1].tolist()], bounds.tolist(), strict=True)]
+            at = to
+        return out
 
-    def by_word(self, k: int) -> np.ndarray:
-        """Of arrays with one value for each word: the values by word number."""
-        values = self.column(k)
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        """Of values with one row for each word, in the order of the parts: the same by word number."""
         out = np.empty_like(values)
         out[self.order] = values
         return out
 
 
-def bring_back(blocks: DataFrame, values: DataFrame, finish: Callable[[Block], pa.Table], schema: str) -> DataFrame:
-    """finish() of each block with its values; the blocks are not shuffled."""
+def bring_back(blocks: DataFrame, values: list[DataFrame], finish: Callable[[Block], pa.Table], schema: str) -> DataFrame:
+    """finish() of each block with its values, a kind for each of the tables; the blocks are not shuffled."""
+    rows = [v.select("block", "part", "values", F.lit(k).alias("kind")) for k, v in enumerate(values)]
+    right = rows[0]
+    for r in rows[1:]:
+        right = right.union(r)
     left = blocks.select("block", "docs").groupBy("block")
-    return left.cogroup(values.select("block", "part", "values").groupBy("block")).applyInArrow(lambda a, b: finish(Block(a, b)), schema)
+    return left.cogroup(right.groupBy("block")).applyInArrow(lambda a, b: finish(Block(a, b)), schema)
