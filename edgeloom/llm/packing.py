@@ -2,95 +2,116 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import id_and_text, saved, table
+from .base import pack as pack_arrays
+from .base import saved, table
+from .wordblocks import Block, bring_back, look_up, store
 
 LENGTH = 2048
 #: Pieces of a shard, islands of a shard, generations between migrations, rounds of migration, solutions on an island.
 SHARD_PIECES, ISLANDS, GENERATIONS, MIGRATIONS, POPULATION = 4096, 2, 6, 2, 4
 #: Bins filled to less go on to the next level, where they meet bins of other shards.
 WELL_FILLED = 0.995
-CACHE_WORDS = 400_000
+#: What the tokenizer takes as white space: it drops it, so that the parts between don't touch each other.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_ODD = re.compile("[\x1c-\x1f]")  # Python's split() takes these as white space too
 
-_caches: dict = {}
+_tokenizers: dict = {}
 
 
-class Ids(dict):
-    """Blank-separated part of a text -> its ids as little-endian bytes. The tokenizer drops white space and never joins across it."""
+class Tokenizer:
+    """Ids of blank-separated parts of texts, each distinct part at the cost of one look-up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, parts) -> None:
-        new = list({p for p in parts if p not in self})
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(set(parts))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u4").tobytes()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        plain = [_plain(t) for t in texts]
-        split = [t.split() if p else None for t, p in zip(texts, plain, strict=True)]
-        for i in range(0, len(split), 64):
-            self.learn([w for s in split[i : i + 64] if s for w in s])
-            for j in range(i, min(i + 64, len(split))):
-                split[j] = np.array(self.tokenizer.encode(texts[j], add_special_tokens=False).ids, "<u4").tobytes() if split[j] is None else b"".join(map(self.__getitem__, split[j]))
-        return split
-
-
-def _plain(text: str) -> bool:
-    """Latin-1 only, with no blanks but the common ones: its parts are the same whatever stands beside them."""
-    try:
-        b = text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return len(b.translate(None, _ODD)) == len(b)
-
-
-_ODD = bytes([*range(9), 11, 12, *range(14, 32), *range(127, 161)])
+        import regex
+        import tokenizers
+
+        self.own = tokenizers.Tokenizer.from_file(path)
+        vocabulary = self.own.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(rules[0]["pattern"]["Regex"]).findall
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each part.
+
+        The words of Latin-1 parts are encoded together, once each: a word's last token, and no other, is one that ends words. Other parts,
+        where normalisation can change what a word is, go to the tokenizer by themselves.
+        """
+        easy = [p.isascii() or max(p) <= "\xff" for p in parts]
+        words = [self.split(p.lower()) if e else None for p, e in zip(parts, easy, strict=True)]
+        known: dict[str, bytes] = dict.fromkeys(w for x in words if x for w in x)
+        order = list(known)
+        for i in range(0, len(order), 4096):
+            some = order[i : i + 4096]
+            ids = np.array(self.own.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                known.update((w, self._one(w)) for w in some)
+                continue
+            data = ids.tobytes()
+            known.update((w, data[4 * a : 4 * z]) for w, a, z in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return [self._one(p) if x is None else b"".join(map(known.__getitem__, x)) for p, x in zip(parts, words, strict=True)]
+
+    def _one(self, part: str) -> bytes:
+        return np.array(self.own.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _parts(texts: list[str]):
+    for t in texts:
+        words = t.split() if not _ODD.search(t) else [w for w in _BLANK.split(t) if w]
+        yield [w.encode() for w in words]
 
 
 def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """(item, doc_id, piece, start, length, ids_crc32, ids): a document's ids and a closing 0, cut only where they exceed a sequence.
 
-    item numbers the pieces of one run; a table made of them keeps the numbers.
+    Each distinct part between blanks is tokenized once for all documents. item numbers the pieces of one run.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
 
-    def cut(batches):
-        item = TaskContext.get().partitionId() << 40
-        if path not in _caches:
-            _caches[path] = Ids(path)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                own = b.slice(i, 256)
-                rows: list[tuple] = []
-                for doc, ids in zip(own.column(0).to_pylist(), _caches[path].texts(own.column(1).to_pylist()), strict=True):
-                    ids += b"\0\0\0\0"
-                    for k, at in enumerate(range(0, len(ids), 4 * length)):
-                        part = ids[at : at + 4 * length]
-                        rows.append((item := item + 1, doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-                columns = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["item", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-
-    return id_and_text(docs).mapInArrow(cut, "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    def answer(part: int, words: list):
+        if path not in _tokenizers:
+            _tokenizers[path] = Tokenizer(path)
+        distinct = list({w for own, _ in words for w in own})
+        known = dict(zip(distinct, _tokenizers[path].ids([w.decode() for w in distinct]), strict=True))
+        out = []
+        for own, _ in words:
+            found = list(map(known.__getitem__, own))
+            out.append(pack_arrays(np.fromiter((len(x) >> 2 for x in found), np.uint32, len(found)), np.frombuffer(b"".join(found), "<u4")))
+        return out, {}
+
+    def finish(b: Block) -> pa.Table:
+        rows: list[tuple] = []
+        first = (b.number >> 32 << 41) | (b.number & 0xFFFFFFFF) << 20
+        for doc, ids in zip(b.ids.to_pylist(), b.sequences(), strict=True):
+            ids += b"\0\0\0\0"
+            for k, at in enumerate(range(0, len(ids), 4 * length)):
+                part = ids[at : at + 4 * length]
+                rows.append((first + len(rows), doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+        columns = list(zip(*rows, strict=True))
+        kinds = {"item": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
+
+    blocks = store(docs, _parts)
+    return bring_back(blocks, [look_up(blocks, answer)], finish, "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class Bins:
