@@ -1,6 +1,6 @@
 """Texts as blocks of word numbers: the base of operators that look each distinct word up once and bring the answer back.
 
-A block holds some 16 MB of whole texts: its distinct words, dealt over parts by their hashes, and for every document the numbers of its
+A block holds some 8 MB of whole texts: its distinct words, dealt over parts by their hashes, and for every document the numbers of its
 words in order. Only (block, distinct word) pairs are shuffled, in one blob for each block and part, so a word as frequent as may be comes
 once from each block. The blocks are stored in buckets of the shared folder; what is brought back is shuffled to them, they stay in place.
 """
@@ -16,10 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import GROUP_BYTES, id_and_text, pack, parts_for, saved, text_bytes, unpack
+from .base import id_and_text, pack, parts_for, saved, text_bytes, trim, unpack
 
 #: So many word positions of a block are turned into ids at a time.
 STEP = 400_000
+BLOCK_BYTES = 8 << 20
 
 
 class _Numbers(dict):
@@ -51,13 +52,13 @@ def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, p
     return number, docs, blobs
 
 
-def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]], counted: Callable | None = None, block_bytes: int = GROUP_BYTES) -> DataFrame:
+def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]], counted: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, docs, words) for docs(doc_id, text); words_of gives the words of each text of a batch.
 
     counted: whether the words of the document of an id are to be counted; the counts of a block stand beside its words.
     """
     given = id_and_text(docs)
-    parts = parts_for(text_bytes(given), block_bytes)
+    parts = parts_for(text_bytes(given), 2 * block_bytes)
 
     def run(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -79,8 +80,11 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
                     yield out()
                     n += 1
                     ids, positions, numbers, size = [], [], _Numbers(), 0
+                    trim()
         if ids:
             yield out()
+        ids, positions, numbers = [], [], _Numbers()
+        trim()
 
     return saved(given.mapInArrow(run, "block long, docs binary, words array<binary>"), (parts, "block"))
 
@@ -96,6 +100,7 @@ def look_up(blocks: DataFrame, answer: Callable, extra: str = "") -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         blobs, more = answer(t["part"][0].as_py(), [unpack_words(x) for x in t["words"].to_pylist()])
         columns = {"block": t["block"], "part": t["part"].cast(pa.int32()), "values": pa.array(blobs, pa.binary())}
+        trim()
         return pa.table(columns | {name: pa.array([v] + [None] * (t.num_rows - 1)) for name, v in more.items()})
 
     return pieces.groupBy("part").applyInArrow(run, f"block long, part int, values binary{extra}")
@@ -150,5 +155,9 @@ def bring_back(blocks: DataFrame, values: list[DataFrame], finish: Callable[[Blo
     right = rows[0]
     for r in rows[1:]:
         right = right.union(r)
-    left = blocks.select("block", "docs").groupBy("block")
-    return left.cogroup(right.groupBy("block")).applyInArrow(lambda a, b: finish(Block(a, b)), schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
+        return finish(Block(left, right))
+
+    return blocks.select("block", "docs").groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
