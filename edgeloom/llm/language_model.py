@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop, mix, pack, saved, table
+from .base import drop, mix, pack, saved, table, unpack
 from .wordblocks import Block, bring_back, look_up, store
 
 STATES, ROUNDS = 8, 3
-#: Words seen less often share the emissions of their class, which the last two bytes decide.
-LEAST, CLASSES = 32, 64
+#: Words seen less than LEAST times, or less than once in ONE_IN tokens, share the emissions of their class, which their last two bytes
+#: decide. The share is what keeps the expectations that blocks exchange in proportion to the corpus, however large it gets.
+LEAST, ONE_IN, CLASSES = 32, 400_000, 64
 #: Weight of the unigram model in each state's emissions, and of a uniform one in its transitions.
 PRIOR, MOVES = 5.0, 1.0
 #: Baum-Welch counts training texts in stretches of so many tokens, so many stretches at a time. Scores are of whole texts.
@@ -74,24 +75,35 @@ def _split(texts: list[str]):
         yield t.encode().lower().split()  # bytes: A-Z and the ASCII blanks only
 
 
-def _count(part: int, words: list):
-    """For each word its training count, its class and, if it is frequent, its number in the part."""
+def _count(part: int, words: list, least: int):
+    """For each word its training count, its class and, if it is seen so often, its number in the part."""
     total: dict[bytes, int] = {}
     for own, counts in words:
         for w, c in zip(own, counts.tolist(), strict=True):
             total[w] = total.get(w, 0) + c
     number: dict[bytes, int] = {}
     for w, c in total.items():
-        if c >= LEAST:
+        if c >= least:
             number[w] = len(number)
     mass = [0.0] * CLASSES
     for w, c in total.items():
-        if 0 < c < LEAST:
+        if 0 < c < least:
             mass[zlib.crc32(w[-2:]) % CLASSES] += c + 1
     blobs = [pack(np.array([total[w] for w in own], np.int64), np.array([zlib.crc32(w[-2:]) % CLASSES for w in own], np.uint8), np.array([number.get(w, RARE) for w in own], np.uint32)) for own, _ in words]
     return blobs, {"tokens": sum(total.values()), "seen": sum(c > 0 for c in total.values()), "mass": mass}
 
 
+def _training_size(batches):
+    """Training texts of each block, and the words in them."""
+    for b in batches:
+        sizes = []
+        for blob in b.column(0).to_pylist():
+            doc, null, lengths = unpack(blob)[:3]
+            own = np.array([not is_held(None if n else i) for i, n in zip(doc.tolist(), null.tolist(), strict=True)], bool)
+            sizes.append((int(own.sum()), int(lengths[own].sum())))
+        yield pa.record_batch([pa.array([k for k, _ in sizes], pa.int64()), pa.array([n for _, n in sizes], pa.int64())], names=["texts", "words"])
+
+
 class _Tokens:
     """The words of a block with what is known of them; the end has the last number."""
 
@@ -185,8 +197,6 @@ def _spread(t: pa.Table, k: int) -> pa.Table:
 
 
 def unpack_counts(blob: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    from .base import unpack
-
     numbers, x = unpack(blob)
     return numbers, x.reshape(-1, k)
 
@@ -233,8 +243,9 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     columns are ignored; an empty table gives an empty result.
     """
     blocks = store(docs, _split, lambda i: not is_held(i))
-    counts = saved(look_up(blocks, _count, ", tokens long, seen long, mass array<double>"))
-    ends = bring_back(blocks, [counts], lambda b: pa.table({"n": pa.array([sum(not is_held(i) for i in b.ids.to_pylist())], pa.int64())}), "n long").agg(F.sum("n")).first()[0] or 0
+    ends, running = blocks.select("docs").mapInArrow(_training_size, "texts long, words long").agg(F.sum("texts"), F.sum("words")).first()
+    ends, least = ends or 0, max(LEAST, -(-((running or 0) + (ends or 0)) // ONE_IN))
+    counts = saved(look_up(blocks, lambda part, words: _count(part, words, least), ", tokens long, seen long, mass array<double>"))
     tokens, seen = counts.agg(F.sum("tokens"), F.sum("seen")).first()
     tokens, seen = (tokens or 0) + ends, (seen or 0) + (ends > 0)
     mass = _added(counts, "mass")
