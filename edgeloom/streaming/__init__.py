@@ -1 +1,5 @@
+"""Streaming neighbour expansion over Structured Streaming."""
 
+from .expansion import StreamPartitioner
+
+__all__ = ["StreamPartitioner"]
