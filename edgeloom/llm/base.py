@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +12,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, saved
+
 #: Whole texts of about so many bytes are held by one Python task at a time.
 GROUP_BYTES = 16 << 20
+#: Bits of a map of ids. Its size is fixed; when it fills up, it lets more rows pass than need be.
+BITS, SLOTS = 1 << 23, 64
+NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,42 +39,6 @@ def parts_for(n_bytes: int, each: int = GROUP_BYTES, least: int = 12) -> int:
     return max(least, -(-n_bytes // each))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if root is None:
-        root = tempfile.mkdtemp(prefix="edgeloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/edgeloom-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, buckets: tuple[int, str] | None = None, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: what follows never recomputes it, whichever executor is lost.
-
-    buckets=(n, column): stored in n buckets, so that joins and groups on the column don't shuffle it again.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    writer = df.write.option("compression", codec)
-    if buckets is None:
-        writer.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    name = f"edgeloom_{uuid.uuid4().hex}"
-    writer.format("parquet").option("path", path).bucketBy(*buckets).saveAsTable(name)
-    return spark.table(name)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table made by saved() that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/edgeloom-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def trim() -> None:
     """Gives freed memory of a Python worker back to the system; workers are kept for later tasks."""
     gc.collect()
@@ -139,3 +106,42 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
+
+
+def bit_of(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+
+
+def id_map(rows: DataFrame, ids_of) -> np.ndarray:
+    """A map of BITS bits that marks every id in rows; ids_of gives the ids of a batch. Null ids are NO_ID."""
+    size = BITS // 8 // SLOTS
+
+    def mark(batches):
+        bits = np.zeros(BITS, bool)
+        for b in batches:
+            bits[bit_of(ids_of(b))] = True
+        packed = np.packbits(bits).reshape(SLOTS, size)
+        some = np.flatnonzero(packed.any(1))
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([packed[s].tobytes() for s in some], pa.binary())], names=["slot", "bits"])
+
+    def join(t: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
+        return pa.table({"slot": t["slot"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    slots = np.zeros((SLOTS, size), np.uint8)
+    for r in rows.mapInArrow(mark, "slot int, bits binary").groupBy("slot").applyInArrow(join, "slot int, bits binary").collect():  # SLOTS rows at most
+        slots[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(slots.reshape(-1)).astype(bool)
+
+
+def marked(rows: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
+    """The rows, with an id as first column, that a map marks, or the others."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))  # BITS / 8 bytes
+
+    def run(batches):
+        own = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)
+            yield b.filter(pa.array(own[bit_of(ids)] == wanted, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

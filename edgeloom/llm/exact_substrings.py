@@ -19,17 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import GROUP_BYTES, mix, pack, parts_for, saved, table, unpack
+from .base import GROUP_BYTES, NO_ID, id_map, marked, mix, pack, parts_for, saved, table, unpack
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Texts are cut into segments of so many bytes for the hashing, which overlap by a string less one.
 SEGMENT = 1 << 19
-#: Bits of the maps of documents with repeats. Their size is fixed; when they fill up, more texts are shuffled than need be.
-BITS, SLOTS = 1 << 23, 64
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _C[0])
-NO_ID = -(1 << 63)
 
 
 def buckets(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
@@ -193,45 +190,8 @@ def _sort_out(t: pa.Table) -> pa.Table:
     return pa.table({"home": pa.array(keys, pa.int32()), "kind": pa.array(kinds, pa.int32()), "flags": pa.array(values, pa.binary())})
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-
-
-def _bitmaps(flags: DataFrame) -> list[np.ndarray]:
-    """Of the documents with repeats, and of those with runs to refine: a map of BITS bits each, whatever the input's size."""
-    size = BITS // 8 // SLOTS
-
-    def mark(batches):
-        maps = np.zeros((2, BITS), bool)
-        for b in batches:
-            for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                maps[kind, _bit(unpack(blob)[0])] = True
-        packed = np.packbits(maps, axis=1).reshape(2 * SLOTS, size)
-        some = np.flatnonzero(packed.any(1))
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([packed[s].tobytes() for s in some], pa.binary())], names=["slot", "bits"])
-
-    def join(t: pa.Table) -> pa.Table:
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
-        return pa.table({"slot": t["slot"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
-
-    rows = flags.select("kind", "flags").mapInArrow(mark, "slot int, bits binary").groupBy("slot").applyInArrow(join, "slot int, bits binary").collect()  # 2 * SLOTS rows at most
-    maps = np.zeros((2 * SLOTS, size), np.uint8)
-    for r in rows:
-        maps[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
-    return list(np.unpackbits(maps.reshape(2, -1), axis=1).astype(bool))
-
-
-def _marked(docs: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
-    """The rows of docs(doc_id, ...) that a map marks, or the others."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # BITS / 8 bytes
-
-    def run(batches):
-        own = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)
-            yield b.filter(pa.array(own[_bit(ids)] == wanted, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def _flagged(b: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([unpack(x)[0] for x in b.column(0).to_pylist()]) if b.num_rows else np.empty(0, np.int64)
 
 
 def _texts(t: pa.Table) -> list[tuple[tuple[int, int], bytes]]:
@@ -342,18 +302,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = given.select("doc_id", "text", home).mapInArrow(_find(parts), "part int, runs binary")
     flagged = "home int, kind int, flags binary"
     flags = saved(found.groupBy("part").applyInArrow(_sort_out, flagged))
-    some, open_ = _bitmaps(flags)
+    some, open_ = (id_map(flags.where(c).select("flags"), _flagged) for c in ("true", "kind = 1"))
     gone = flags.where("kind = 0")
     if open_.any():
-        left = _marked(given.select("doc_id", "text", home), open_).groupBy("home")
+        left = marked(given.select("doc_id", "text", home), open_).groupBy("home")
         fetched = left.cogroup(flags.where("kind = 1").groupBy("home")).applyInArrow(_fetch(parts), "part int, runs binary")
         gone = gone.union(fetched.groupBy("part").applyInArrow(_refine, flagged))
-    touched = some | open_
-    kind = given.schema["row"].dataType.simpleString()
+        kind = given.schema["row"].dataType.simpleString()
     out = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, row {kind}"
-    left = _marked(given.select("doc_id", "text", "row", home), touched).groupBy("home")
+    left = marked(given.select("doc_id", "text", "row", home), some).groupBy("home")
     cleaned = left.cogroup(gone.groupBy("home")).applyInArrow(_remove, out)
-    same = _marked(given, touched, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), "row")
+    same = marked(given, some, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), "row")
     return cleaned.union(same)
 
 

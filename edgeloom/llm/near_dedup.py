@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, id_and_text, mix, saved, table
+from .base import components, id_and_text, id_map, marked, mix, pack, saved, table, unpack
 
 WORDS, PERCENT = 5, 85
 #: A pair that shares 85 % of its union shares no band once in some 170 million times, one that shares 80 % once in some 190,000.
 BANDS, ROWS = 40, 6
-#: Rounds of links to one centre of each bucket, before what is left in a bucket is compared in full.
-ROUNDS = 3
+#: Rounds of links to one centre of each bucket, before what is left in a bucket is compared.
+ROUNDS = 2
 _ONE, _M = np.uint64(1), [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -98,7 +98,7 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in wanted(id), computed from their whole texts."""
+    """(id, shingles) of the documents in wanted(id), computed from their whole texts and stored in buckets by id."""
 
     def run(batches):
         for b in batches:
@@ -106,12 +106,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = b.slice(i, 128)
                 yield pa.record_batch([own.column(0), pa.array([shingles(t).tobytes() for t in own.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    some = id_and_text(docs).where("doc_id is not null").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return some.mapInArrow(run, "id long, shingles binary")
+    bits = id_map(wanted, lambda b: b.column(0).to_numpy())
+    some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return saved(some.mapInArrow(run, "id long, shingles binary"), (_parts(docs), "id"))
+
+
+def _parts(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. The stored sets stay in place, and come once for each pair."""
 
     def run(batches):
         for b in batches:
@@ -126,55 +131,76 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-#: Up to so many ids are broadcast to pick their sets; beyond, the sets are joined by a shuffle.
-FEW = 100_000
-
-
 def _members(keys: DataFrame) -> DataFrame:
-    """(key, id, n) of the buckets that hold two sets or more, from (id, n, keys)."""
+    """(key, id, n, w) of the buckets that hold two sets or more, from (id, n, keys). w, what an id's buckets hold together, is large for
+    sets in the middle of many like them."""
     rows = keys.select("id", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    return saved(rows.join(shared, "key").select("key", "id", "n"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    own = saved(rows.join(shared, "key").select("key", "id", "n", "size"))
+    return saved(own.join(own.groupBy("id").agg(F.sum("size").alias("w")), "id").select("key", "id", "n", "w"))
 
 
-def _near(percent: int):
-    """Sets of very different sizes can't be similar."""
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """(id, k): how many shingles of each of the ids' sets are in another of them too. Blobs of shingles are shuffled, one a batch and part."""
 
-
-def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    def deal(batches):
+        for b in batches:
+            arrays = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            if not arrays:
+                continue
+            x = np.concatenate(arrays)
+            own = np.repeat(b.column(0).to_numpy(), [len(a) for a in arrays])
+            part = (x % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            out = [(p, pack(own[r], x[r])) for p in range(parts) if len(r := order[bounds[p] : bounds[p + 1]])]
+            yield pa.record_batch([pa.array([p for p, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "rows"])
+
+    def count(t: pa.Table) -> pa.Table:
+        own, x = (np.concatenate(c) for c in zip(*[unpack(v) for v in t["rows"].to_pylist()], strict=True))
+        _, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
+        ids, k = np.unique(own[n[inverse] > 1], return_counts=True)
+        return pa.table({"id": ids, "k": k})
+
+    some = sets.join(ids, "id", "left_semi").select("id", "shingles")
+    return some.mapInArrow(deal, "part int, rows binary").groupBy("part").applyInArrow(count, "id long, k long").groupBy("id").agg(F.sum("k").alias("k"))
+
+
+def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between representatives whose components are those of all pairs that share a bucket and are similar.
 
-    Each round compares the members of a bucket with one of them, another in each round, as far as they aren't connected yet; so a group of
-    copies costs as many comparisons as it has members. The last round compares what is left: members of a bucket in different components.
+    First the members of a bucket are compared with its most central one, then what isn't connected to that one with the most central of
+    the rest; so a group of copies costs as many comparisons as it has members. What remains are members of a bucket in different
+    components. Of these, pairs go that their sizes, or the shingles which no other set has, keep below the threshold; the others are
+    compared in full.
     """
-    ids = members.select("id").distinct()
-    sets = saved(_sets(docs, ids))
+    sets = _sets(docs, members.select("id").distinct())
     links, known = None, None
     for r in range(ROUNDS + 1):
         own = members if known is None else members.join(known, "id", "left")
-        own = own.select("key", "id", "n", (F.coalesce("component", "id") if known is not None else F.col("id")).alias("c"))
+        own = own.select("key", "id", "n", "w", (F.coalesce("component", "id") if known is not None else F.col("id")).alias("c"))
         if known is not None:
             open_keys = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-            own = own.join(open_keys, "key")
+            own = saved(own.join(open_keys, "key"))
+            if own.isEmpty():
+                break
+        middle = lambda df: df.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("key", "x.*")
         if r < ROUNDS:
-            first = F.xxhash64("id", F.lit(r)) if r else F.col("id")
-            centre = own.groupBy("key").agg(F.min(F.struct(first.alias("o"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("key", "x.*")
-            pairs = own.join(centre, "key").where(F.col("c") != F.col("d"))
+            centre = middle(own)
+            for _ in range(r):
+                centre = middle(own.join(centre.select("key", "d"), "key").where("c <> d"))
+            pairs = own.join(centre, "key").where((F.col("c") != F.col("d")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
         else:
-            other = own.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = own.join(other, "key").where(F.col("c") < F.col("d"))
-        pairs = saved(pairs.where(_near(percent)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        n = pairs.count()
-        if not n:
-            break
-        some = sets
-        if n <= FEW // 2:
-            some = sets.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
-        found = saved(_confirm(pairs, some, percent))
+            counted = saved(own.join(_shared_counts(sets, own.select("id").distinct(), _parts(docs)), "id"))
+            x, y = counted.alias("x"), counted.alias("y")
+            most = F.least("x.k", "y.k", "x.n", "y.n")
+            near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+            pairs = x.join(y, near).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
+        pairs = saved(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        found = saved(_confirm(pairs, sets, percent))
         links = found if links is None else saved(links.union(found))
         if r < ROUNDS:
-            known = saved(components(links))
+            known = components(links)
     return links
 
 
