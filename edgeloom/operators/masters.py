@@ -39,7 +39,7 @@ def quota_masters(members: DataFrame, p: int, n_vertices: int, seed: int) -> Dat
             quota[b] -= 1
         return pa.table({"vid": pa.array(list(owner), pa.int64()), "bucket": pa.array(list(owner.values()), pa.int32())})
 
-    return members.select("bucket", "vid").groupBy(F.lit(0)).applyInArrow(run, "vid long, bucket int")
+    return members.select("bucket", "vid").groupBy().applyInArrow(run, "vid long, bucket int")
 
 
 def master_balance(masters: DataFrame, p: int, n_vertices: int) -> DataFrame:

@@ -34,4 +34,4 @@ def neighbour_expansion(graph: Graph, config: PartitionConfig) -> DataFrame:
         eid, u, v = (t[c].to_numpy()[order] for c in ("eid", "u", "v"))
         return pa.table({"eid": eid, "u": u, "v": v, "bucket": expand(u, v, n, config).astype(np.int32)})
 
-    return graph.edges.groupBy(F.lit(0)).applyInArrow(run, "eid long, u long, v long, bucket int")
+    return graph.edges.groupBy().applyInArrow(run, "eid long, u long, v long, bucket int")

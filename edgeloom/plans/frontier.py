@@ -7,7 +7,7 @@ rounds. An edge that two buckets want goes to the lower one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,20 @@ from ..operators.graph import Graph
 from ..storage import drop, saved
 
 
-def _pick(frontier: DataFrame, take: int) -> DataFrame:
-    """The first `take` vertices of each bucket by open edges; the same vertex is only the lowest bucket's."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key", F.xxhash64("vid"), "vid"))
-    return frontier.withColumn("rank", rank).where(F.col("rank") <= take).groupBy("vid").agg(F.min("bucket").alias("bucket"))
+def _room(capacity: int, sizes: dict[int, int]) -> Column:
+    out = F.when(F.lit(False), F.lit(0))
+    for b, n in sizes.items():
+        out = out.when(F.col("bucket") == b, F.lit(max(0, capacity - n)))
+    return out
+
+
+def _pick(frontier: DataFrame, take: int, room: Column) -> DataFrame:
+    """The first `take` vertices of each bucket by open edges, as far as their edges have room, but one at least; the same vertex is only
+    the lowest bucket's."""
+    by = Window.partitionBy("bucket").orderBy("key", F.xxhash64("vid"), "vid")
+    first = frontier.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= take)
+    fits = first.withColumn("edges", F.sum("key").over(by.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rank") == 1) | (F.col("edges") <= room))
+    return fits.groupBy("vid").agg(F.min("bucket").alias("bucket"))
 
 
 def frontier_expansion(graph: Graph, config: PartitionConfig, max_rounds: int = 40) -> DataFrame:
@@ -45,7 +55,7 @@ def frontier_expansion(graph: Graph, config: PartitionConfig, max_rounds: int =
             table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("n"), F.lit(b).alias("bucket")) for i, b in enumerate(without)])).alias("x")).select("x.*")
             fresh = dealt.join(F.broadcast(table), "n").select("vid", "bucket", "key")
             frontier = fresh if frontier is None else frontier.select("vid", "bucket", "key").union(fresh)
-        core = saved(_pick(frontier.select("vid", "bucket", "key"), take))
+        core = saved(_pick(frontier.select("vid", "bucket", "key"), take, _room(capacity, sizes)))
         c = lambda k, b: core.select(F.col("vid").alias(k), F.col("bucket").alias(b))
         reached = open_edges.join(c("u", "bu"), "u", "left").join(c("v", "bv"), "v", "left")
         given = reached.where("bu is not null or bv is not null").select("eid", "u", "v", F.least("bu", "bv").alias("bucket"))
@@ -57,6 +67,11 @@ def frontier_expansion(graph: Graph, config: PartitionConfig, max_rounds: int =
         rest = both.where("bucket is null").select("eid", "u", "v")
         sides = lambda k: boundary_new.where(wanted).select(F.col("vid").alias(k), "bucket")
         inner = rest.join(sides("u"), "u").join(sides("v"), ["v", "bucket"]).groupBy("eid", "u", "v").agg(F.min("bucket").alias("bucket"))
+        filled = dict(sizes)
+        for r in mine.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # at most p rows
+            filled[r["bucket"]] += r["n"]
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("eid"), "eid"))
+        inner = inner.withColumn("place", place).where(F.col("place") <= _room(capacity, filled))
         got = saved(mine.union(inner.select("eid", "u", "v", F.col("bucket").cast("int"))))
         counts = {r["bucket"]: r["n"] for r in got.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # at most p rows
         for b, n in counts.items():

@@ -119,4 +119,4 @@ def streaming_expansion(graph: Graph, config: PartitionConfig) -> DataFrame:
         edges, bucket = run_stream(degrees, n_edges, (e[i : i + size] for i in range(0, len(e), size)), config)
         return pa.table({"eid": edges[:, 0], "u": edges[:, 1], "v": edges[:, 2], "bucket": bucket.astype(np.int32)})
 
-    return graph.edges.withColumn("h", F.xxhash64("eid", F.lit(config.seed))).groupBy(F.lit(0)).applyInArrow(run, "eid long, u long, v long, bucket int")
+    return graph.edges.withColumn("h", F.xxhash64("eid", F.lit(config.seed))).groupBy().applyInArrow(run, "eid long, u long, v long, bucket int")

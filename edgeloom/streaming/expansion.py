@@ -106,7 +106,7 @@ class StreamPartitioner:
             is_core = np.isin(np.arange(len(names)), list(core))
             return pa.table({"eid": eid, "u": u, "v": v, "bucket": pa.array([b if x else None for x in own.tolist()], pa.int32()), "cu": is_core[ends[: len(u)]], "cv": is_core[ends[len(u) :]]})
 
-        grown = saved(self.sample.groupBy(F.lit(0)).applyInArrow(run, "eid long, u long, v long, bucket int, cu boolean, cv boolean"))  # the sample's size is a setting
+        grown = saved(self.sample.groupBy().applyInArrow(run, "eid long, u long, v long, bucket int, cu boolean, cv boolean"))  # the sample's size is a setting
         core = grown.select(F.explode(F.array(F.struct(F.col("u").alias("vid"), F.col("cu").alias("core")), F.struct(F.col("v").alias("vid"), F.col("cv").alias("core")))).alias("x")).where("x.core").select("x.vid", F.lit(b).alias("bucket"), "x.core").distinct()
         self._give(grown.where("bucket is not null"), core)
         rest, self.sample = grown.where("bucket is null").select("eid", "u", "v"), None
