@@ -141,7 +141,10 @@ def _members(keys: DataFrame) -> DataFrame:
 
 
 def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
-    """(id, k): how many shingles of each of the ids' sets are in another of them too. Blobs of shingles are shuffled, one a batch and part."""
+    """(id, k): how many shingles of each of the ids' sets are in another of them too.
+
+    Blobs of shingles are shuffled, one a batch and part, and then blobs of counts by the hash of the id. Sets that share nothing are left out.
+    """
 
     def deal(batches):
         for b in batches:
@@ -160,10 +163,17 @@ def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
         own, x = (np.concatenate(c) for c in zip(*[unpack(v) for v in t["rows"].to_pylist()], strict=True))
         _, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
         ids, k = np.unique(own[n[inverse] > 1], return_counts=True)
-        return pa.table({"id": ids, "k": k})
+        home = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        out = [(h, pack(ids[home == h], k[home == h])) for h in np.unique(home).tolist()]
+        return pa.table({"home": pa.array([h for h, _ in out], pa.int32()), "rows": pa.array([v for _, v in out], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        ids, k = (np.concatenate(c) for c in zip(*[unpack(v) for v in t["rows"].to_pylist()], strict=True))
+        found, inverse = np.unique(ids, return_inverse=True)
+        return pa.table({"id": found, "k": np.bincount(inverse, k).astype(np.int64)})
 
-    some = sets.join(ids, "id", "left_semi").select("id", "shingles")
-    return some.mapInArrow(deal, "part int, rows binary").groupBy("part").applyInArrow(count, "id long, k long").groupBy("id").agg(F.sum("k").alias("k"))
+    some = sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(deal, "part int, rows binary")
+    return some.groupBy("part").applyInArrow(count, "home int, rows binary").groupBy("home").applyInArrow(add, "id long, k long")
 
 
 def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
