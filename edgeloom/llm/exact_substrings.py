@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import GROUP_BYTES, NO_ID, id_map, marked, mix, pack, parts_for, saved, table, unpack
 
@@ -308,8 +309,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         left = marked(given.select("doc_id", "text", home), open_).groupBy("home")
         fetched = left.cogroup(flags.where("kind = 1").groupBy("home")).applyInArrow(_fetch(parts), "part int, runs binary")
         gone = gone.union(fetched.groupBy("part").applyInArrow(_refine, flagged))
-        kind = given.schema["row"].dataType.simpleString()
-    out = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, row {kind}"
+    out = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), given.schema["row"]])
     left = marked(given.select("doc_id", "text", "row", home), some).groupBy("home")
     cleaned = left.cogroup(gone.groupBy("home")).applyInArrow(_remove, out)
     same = marked(given, some, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), "row")
@@ -327,8 +327,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["doc_id", "text", "row"])
 
-    kind = out.schema["row"].dataType.simpleString()
-    whole = out.select("doc_id", "kept", "row").mapInArrow(run, f"doc_id long, text string, row {kind}")
+    whole = out.select("doc_id", "kept", "row").mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), out.schema["row"]]))
     columns = [F.col("doc_id").cast(f.dataType).alias(f.name) if f.name == "doc_id" else F.col("text") if f.name == "text" else F.length("text").cast(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col(f"row.`{f.name}`") for f in docs.schema]
     return whole.select(*columns)
 

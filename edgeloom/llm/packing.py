@@ -43,16 +43,17 @@ class Tokenizer:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         with open(path, encoding="utf-8") as f:
-            rules = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(rules[0]["pattern"]["Regex"]).findall
+            rules = json.load(f)
+        self.split = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.added = [t["content"] for t in rules["added_tokens"]]
 
     def ids(self, parts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each part.
 
         The words of Latin-1 parts are encoded together, once each: a word's last token, and no other, is one that ends words. Other parts,
-        where normalisation can change what a word is, go to the tokenizer by themselves.
+        where normalisation can change what a word is, and parts with the string of a special token go to the tokenizer by themselves.
         """
-        easy = [p.isascii() or max(p) <= "\xff" for p in parts]
+        easy = [(p.isascii() or max(p) <= "\xff") and not any(a in p for a in self.added) for p in parts]
         words = [self.split(p.lower()) if e else None for p, e in zip(parts, easy, strict=True)]
         known: dict[str, bytes] = dict.fromkeys(w for x in words if x for w in x)
         order = list(known)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import table
 
@@ -157,8 +158,8 @@ def _features_of(docs: DataFrame, extra: list[Column], model: Model | None = Non
             yield pa.record_batch([*[b.column(k) for k in range(1, b.num_columns)], out], names=[*b.schema.names[1:], "_out"])
 
     given = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"), *extra)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[1:])
-    return given.mapInArrow(run, f"{schema}, _out {'double' if model else 'array<double>'}")
+    kind = T.DoubleType() if model else T.ArrayType(T.DoubleType())
+    return given.mapInArrow(run, T.StructType([*given.schema[1:], T.StructField("_out", kind)]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

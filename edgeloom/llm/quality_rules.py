@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import table
 
@@ -81,8 +82,8 @@ def stats(docs: DataFrame, carry: bool = False) -> DataFrame:
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] * carry
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"), *row)
-    kind = ", _row " + given.schema["_row"].dataType.simpleString() if carry else ""
-    return given.mapInArrow(run, STATS + ", lang string" + kind)
+    kinds = [T.StructField(x.split()[0], T.LongType()) for x in STATS.split(", ")]
+    return given.mapInArrow(run, T.StructType([*kinds, *given.schema[2:]]))
 
 
 def base_failed() -> Column:
