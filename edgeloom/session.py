@@ -1,4 +1,4 @@
-"""Makes the package known to the Python workers of a session."""
+"""Makes a session ready for the package."""
 
 from __future__ import annotations
 
@@ -12,9 +12,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows that go to a Python worker at a time, unless the session says otherwise: with long texts Spark's 10,000 take too much memory.
+BATCH_ROWS, _DEFAULT_ROWS = "1000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package's sources to the session's files, once, so that workers can import it wherever it isn't installed."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).parent
