@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 
 import numpy as np
@@ -47,6 +48,17 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(work):
+    """A function over batches that gives freed memory back when it is through."""
+
+    @functools.wraps(work)
+    def run(batches):
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

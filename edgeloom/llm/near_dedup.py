@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, id_and_text, id_map, marked, mix, pack, saved, table, unpack
+from .base import components, id_and_text, id_map, lean, marked, mix, pack, saved, table, unpack
 
 WORDS, PERCENT = 5, 85
 #: A pair that shares 85 % of its union shares no band once in some 170 million times, one that shares 80 % once in some 190,000.
 BANDS, ROWS = 40, 6
+#: Shingles that are sketched at a time, and words whose hashes a Python worker keeps.
+AT_ONCE, CACHE_WORDS = 100_000, 150_000
 #: Rounds of links to one centre of each bucket, before what is left in a bucket is compared.
 ROUNDS = 2
 _ONE, _M = np.uint64(1), [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -23,7 +25,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -83,16 +85,25 @@ def _describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, whole, keys): whole identifies the set, keys are its bands."""
     import xxhash
 
+    def out(ids: list, sets: list):
+        keys = iter(band_keys(sketches([s for s in sets if len(s)])))
+        rows = [list(next(keys)) if len(s) else [] for s in sets]
+        whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "whole", "keys"])
+
+    @lean
     def run(batches):
+        ids, sets, size = [], [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                own = b.slice(i, 128)
-                sets = [shingles(t) for t in own.column(1).cast(pa.binary()).to_pylist()]
-                full = [s for s in sets if len(s)]
-                keys = iter(band_keys(sketches(full)))
-                whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                rows = [list(next(keys)) if len(s) else [] for s in sets]
-                yield pa.record_batch([own.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "whole", "keys"])
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(doc)
+                sets.append(shingles(text))
+                size += len(sets[-1]) + 100
+                if size >= AT_ONCE:
+                    yield out(ids, sets)
+                    ids, sets, size = [], [], 0
+        if ids:
+            yield out(ids, sets)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, whole binary, keys array<long>")
 
@@ -100,6 +111,7 @@ def _describe(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles) of the documents in wanted(id), computed from their whole texts and stored in buckets by id."""
 
+    @lean
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 128):
@@ -118,6 +130,7 @@ def _parts(docs: DataFrame) -> int:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. The stored sets stay in place, and come once for each pair."""
 
+    @lean
     def run(batches):
         for b in batches:
             ok = []

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import table
+from .base import lean, table
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -148,18 +149,22 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return m
 
 
-def _features_of(docs: DataFrame, extra: list[Column], model: Model | None = None) -> DataFrame:
-    """The extra columns and each row's features, or its score where a model is given."""
+def _features_of(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """rows of a text, or a struct with a text, and what else is to be kept; then each text's features, or its score where there is a model."""
+    inside = rows.schema[0].dataType != T.StringType()
 
+    @lean
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(0).cast(pa.binary()).to_pylist()], float).reshape(b.num_rows, len(FEATURES))
-            out = pa.array(model.score(x)) if model else pa.array(list(x), pa.list_(pa.float64()))
-            yield pa.record_batch([*[b.column(k) for k in range(1, b.num_columns)], out], names=[*b.schema.names[1:], "_out"])
+            for i in range(0, b.num_rows, 128):
+                own = b.slice(i, 128)
+                texts = pc.struct_field(own.column(0), "text") if inside else own.column(0)
+                x = np.array([features((t or "").encode()) for t in texts.cast(pa.string()).to_pylist()], float).reshape(own.num_rows, len(FEATURES))
+                out = pa.array(model.score(x)) if model else pa.array(list(x), pa.list_(pa.float64()))
+                yield pa.record_batch([*[own.column(k) for k in range(not inside, own.num_columns)], out], names=[*own.schema.names[not inside :], "_out"])
 
-    given = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"), *extra)
     kind = T.DoubleType() if model else T.ArrayType(T.DoubleType())
-    return given.mapInArrow(run, T.StructType([*given.schema[1:], T.StructField("_out", kind)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema[int(not inside) :], T.StructField("_out", kind)]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -167,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality"))
     some = F.broadcast(own.orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS))  # FIT_ROWS rows at most
     doc_id = docs["doc_id"].cast("long")
-    known = docs.join(some, doc_id == F.col("_id")).select(docs["doc_id"], docs["text"], F.col("_quality"))
-    rows = _features_of(known, [known["doc_id"].cast("long").alias("_id"), known["_quality"].cast("int").alias("_quality")]).collect()  # FIT_ROWS ids at most
+    known = docs.join(some, doc_id == F.col("_id")).select(docs["text"].cast("string"), F.col("_id"), F.col("_quality").cast("int"))
+    rows = _features_of(known).collect()  # FIT_ROWS ids at most
     rows.sort(key=lambda r: (r[0], r[2]))
     return fit(np.array([r[2] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], float))
 
@@ -179,13 +184,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the score of all-zero features; repeated rows and null ids keep their rows; long texts are read whole; other
     columns are ignored; without labels every score is 0.5.
     """
-    scored = _features_of(docs, [docs["doc_id"].cast("long").alias("doc_id")], model)
+    scored = _features_of(docs.select(docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("doc_id")), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_out").alias("score"), (F.col("_out") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model predicts to be good, with all their columns."""
-    return _features_of(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("_row")], train(docs, labels)).where(F.col("_out") >= THRESHOLD).select("_row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return _features_of(rows, train(docs, labels)).where(F.col("_out") >= THRESHOLD).select("_row.*")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

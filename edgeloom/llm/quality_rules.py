@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import table
+from .base import lean, table
 
 #: At most this share of good documents may fall to the rules of a stratum, but for a chance of DELTA over all strata.
 ALPHA, DELTA = 0.01, 0.05
@@ -73,17 +74,23 @@ def measure(text: bytes) -> tuple[int, ...]:
 def stats(docs: DataFrame, carry: bool = False) -> DataFrame:
     """STATS and lang for every row of docs, one pass over whole texts; carry: the row itself too, as the struct _row."""
 
+    names = [*[x.split()[0] for x in STATS.split(", ")], "lang", *["_row"] * carry]
+
+    @lean
     def run(batches):
         for b in batches:
-            rows = [measure(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 9)]
-            yield pa.record_batch([b.column(0), *columns, *[b.column(k) for k in range(2, b.num_columns)]], names=[*[x.split()[0] for x in STATS.split(", ")], "lang", *["_row"] * carry])
-
-    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] * carry
-    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"), *row)
+            for i in range(0, b.num_rows, 128):
+                own = b.slice(i, 128)
+                texts = pc.struct_field(own.column(1), "text") if carry else own.column(1)
+                rows = [measure((t or "").encode()) for t in texts.cast(pa.string()).to_pylist()]
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.record_batch([own.column(0), *columns, own.column(2), *[own.column(1)] * carry], names=names)
+
+    lang = F.coalesce(docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string"), F.lit("")).alias("lang")
+    text = F.struct(*[docs[c] for c in docs.columns]).alias("_row") if carry else docs["text"].cast("string").alias("text")
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text, lang)
     kinds = [T.StructField(x.split()[0], T.LongType()) for x in STATS.split(", ")]
-    return given.mapInArrow(run, T.StructType([*kinds, *given.schema[2:]]))
+    return given.mapInArrow(run, T.StructType([*kinds, given.schema["lang"], *[given.schema[1]] * carry]))
 
 
 def base_failed() -> Column:
