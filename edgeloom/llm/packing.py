@@ -23,9 +23,10 @@ LENGTH = 2048
 SHARD_PIECES, ISLANDS, GENERATIONS, MIGRATIONS, POPULATION = 4096, 2, 6, 2, 4
 #: Bins filled to less go on to the next level, where they meet bins of other shards.
 WELL_FILLED = 0.995
-#: What the tokenizer takes as white space: it drops it, so that the parts between don't touch each other.
-_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_ODD = re.compile("[\x1c-\x1f]")  # Python's split() takes these as white space too
+#: What the tokenizer takes as white space beyond ASCII: it drops white space, so that the parts between don't touch each other.
+_WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: With bytes of the tokenizer's parts and ids in small memory, larger blocks cost less: fewer words stand in several of them.
+BLOCK_BYTES = 16 << 20
 
 _tokenizers: dict = {}
 
@@ -53,9 +54,19 @@ class Tokenizer:
         The words of Latin-1 parts are encoded together, once each: a word's last token, and no other, is one that ends words. Other parts,
         where normalisation can change what a word is, and parts with the string of a special token go to the tokenizer by themselves.
         """
-        easy = [(p.isascii() or max(p) <= "\xff") and not any(a in p for a in self.added) for p in parts]
-        words = [self.split(p.lower()) if e else None for p, e in zip(parts, easy, strict=True)]
-        known: dict[str, bytes] = dict.fromkeys(w for x in words if x for w in x)
+        known: dict[str, bytes] = {}
+        words: list = []
+        for p in parts:
+            if not (p.isascii() or max(p) <= "\xff"):
+                words.append(None)
+            elif p.isalpha():
+                words.append(w := p.lower())  # one word: the common case
+                known[w] = b""
+            elif any(a in p for a in self.added):
+                words.append(None)
+            else:
+                words.append(own := self.split(p.lower()))
+                known.update(dict.fromkeys(own))
         order = list(known)
         for i in range(0, len(order), 4096):
             some = order[i : i + 4096]
@@ -66,7 +77,7 @@ class Tokenizer:
                 continue
             data = ids.tobytes()
             known.update((w, data[4 * a : 4 * z]) for w, a, z in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-        return [self._one(p) if x is None else b"".join(map(known.__getitem__, x)) for p, x in zip(parts, words, strict=True)]
+        return [known[x] if x.__class__ is str else self._one(p) if x is None else b"".join(map(known.__getitem__, x)) for p, x in zip(parts, words, strict=True)]
 
     def _one(self, part: str) -> bytes:
         return np.array(self.own.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,8 +85,7 @@ class Tokenizer:
 
 def _parts(texts: list[str]):
     for t in texts:
-        words = t.split() if not _ODD.search(t) else [w for w in _BLANK.split(t) if w]
-        yield [w.encode() for w in words]
+        yield (t if t.isascii() else _WIDE_BLANK.sub(" ", t)).encode().split()  # bytes: the ASCII blanks only
 
 
 def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -111,7 +121,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
         kinds = {"item": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
 
-    blocks = store(docs, _parts)
+    blocks = store(docs, _parts, block_bytes=BLOCK_BYTES)
     return bring_back(blocks, [look_up(blocks, answer)], finish, "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 

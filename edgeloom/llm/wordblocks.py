@@ -43,7 +43,7 @@ def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, p
     words = list(numbers)
     own = [p for i, p in zip(ids, positions, strict=True) if counted and counted(i)]
     counts = np.bincount(np.concatenate(own), minlength=len(words)) if own else np.zeros(len(words), np.int64)
-    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.uint32, len(words))
+    part = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(parts)
     order = np.argsort(part, kind="stable")
     ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
     blobs = [pack_words([words[k] for k in order[a:b].tolist()], counts[order[a:b]]) if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
