@@ -337,3 +337,22 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_array_dedup": op4_suffix_array_dedup}
+#: Texts as hex digits, two for each byte; a string that comes again starts at a row whose rank is over one.
+ORACLE_SQL = {
+    "op4_suffix_array_dedup": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM d),
+c AS (SELECT doc_id, n_bytes - {LENGTH - 1} - 1000 * k AS left_over, 1000 * k AS o, substr(h, 2000 * k + 1, {2000 + 2 * LENGTH - 2}) AS part
+      FROM (SELECT *, unnest(range((n_bytes + 999) // 1000)) AS k FROM n)),
+w AS (SELECT doc_id, o + i AS s, md5(substr(part, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT *, unnest(range(least(1000, left_over))) AS i FROM c WHERE left_over > 0)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS rank FROM w),
+g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM r WHERE rank > 1),
+x AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM g),
+p AS (SELECT doc_id, span, min(s) AS a, max(s) + {LENGTH} AS z FROM x GROUP BY doc_id, span),
+q AS (SELECT doc_id, span, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM p),
+k AS (SELECT q.doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+      FROM q JOIN n ON q.doc_id = n.doc_id GROUP BY q.doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN k ON n.doc_id = k.doc_id"""
+}

@@ -86,7 +86,7 @@ class Tree:
             rows = rows[ids[rows] != own]
             if len(rows):
                 e = vectors[rows] - target
-                score, found = np.r_[score, np.sqrt((e * e).sum(1))], np.r_[found, ids[rows]]
+                score, found = np.r_[score, np.sqrt((e * e).cumsum(1)[:, -1])], np.r_[found, ids[rows]]  # added up in the order of components
                 best = np.lexsort((found, score))[:k]
                 score, found = score[best], found[best]
                 if len(score) == k:
@@ -148,3 +148,12 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_nearest_neighbours": op2_nearest_neighbours}
+ORACLE_SQL = {
+    "op2_nearest_neighbours": f"""
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_sum(list_transform(list_zip(q.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+      FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= {K}"""
+}
