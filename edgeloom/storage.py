@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; under a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = own.get() if own.isDefined() else None
