@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     others = [F.struct(*([docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")])).alias("row")]
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *others)
     parts = parts_for(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    home = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("home")
+    home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("home")  # with the text, as an id may be null or repeated
     found = given.select("doc_id", "text", home).mapInArrow(_find(parts), "part int, runs binary")
     flagged = "home int, kind int, flags binary"
     flags = saved(found.groupBy("part").applyInArrow(_sort_out, flagged))
