@@ -14,6 +14,10 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS = 40, 6
 #: Shingles that are sketched at a time, and words whose hashes a Python worker keeps.
 AT_ONCE, CACHE_WORDS = 100_000, 150_000
+#: Longs of the map of a set's shingles, which tells what two sets can't share.
+MAP_LONGS = 32
+#: Members of a bucket that one task compares with each other.
+CELL = 2048
 #: Rounds of links to one centre of each bucket, before what is left in a bucket is compared.
 ROUNDS = 2
 _ONE, _M = np.uint64(1), [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -108,19 +112,27 @@ def _describe(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, whole binary, keys array<long>")
 
 
+def bitmap(shingle_set: np.ndarray) -> list[int]:
+    """MAP_LONGS longs with a bit set for each shingle. A bit that only one of two sets has stands for a shingle that only it has."""
+    bits = np.zeros(64 * MAP_LONGS, bool)
+    bits[(shingle_set % np.uint64(64 * MAP_LONGS)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in wanted(id), computed from their whole texts and stored in buckets by id."""
+    """(id, shingles, bits) of the documents in wanted(id), computed from their whole texts and stored in buckets by id."""
 
     @lean
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 own = b.slice(i, 128)
-                yield pa.record_batch([own.column(0), pa.array([shingles(t).tobytes() for t in own.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "shingles"])
+                sets = [shingles(t) for t in own.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.record_batch([own.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles", "bits"])
 
     bits = id_map(wanted, lambda b: b.column(0).to_numpy())
     some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return saved(some.mapInArrow(run, "id long, shingles binary"), (_parts(docs), "id"))
+    return saved(some.mapInArrow(run, "id long, shingles binary, bits array<long>"), (_parts(docs), "id"))
 
 
 def _parts(docs: DataFrame) -> int:
@@ -189,6 +201,40 @@ def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
     return some.groupBy("part").applyInArrow(count, "home int, rows binary").groupBy("home").applyInArrow(add, "id long, k long")
 
 
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members(key, id, n, c, k, bits, keys) of a bucket in different components that may be similar enough.
+
+    What two sets share is at most what either shares with any set, and what is left of either without the bits that only it has. These
+    bounds are exact and leave little more than the similar pairs. A pair comes from the smallest of its buckets only. Large buckets are
+    dealt over cells of bounded size.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    q = F.ceil(F.col("size") / CELL).cast("int")
+    dealt = members.join(size, "key").withColumn("q", q).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("key", "id", "n", "c", "k", "bits", "keys", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+    def run(t: pa.Table) -> pa.Table:
+        key, i, j = (t[x][0].as_py() for x in ("key", "i", "j"))
+        ids, n, c, k, chunk = (t[x].to_numpy() for x in ("id", "n", "c", "k", "chunk"))
+        bits = np.array(t["bits"].to_pylist(), np.int64).reshape(len(ids), -1)
+        keys = t["keys"].to_pylist()
+        out: tuple[list, list] = ([], [])
+        for r in range(len(ids)):
+            rest = np.arange(r + 1, len(ids))
+            rest = rest[(c[rest] != c[r]) & ((chunk[rest] != chunk[r]) if i != j else True)]
+            if not len(rest):
+                continue
+            mine, theirs = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits[r] & ~bits[rest], bits[rest] & ~bits[r]))
+            most = np.minimum(np.minimum(k[rest], n[rest] - theirs), np.minimum(k[r], n[r] - mine))
+            for s in rest[100 * most >= percent * (n[rest] + n[r] - most)].tolist():
+                if min(set(keys[r]) & set(keys[s])) == key:
+                    out[0].append(min(ids[r], ids[s]))
+                    out[1].append(max(ids[r], ids[s]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between representatives whose components are those of all pairs that share a bucket and are similar.
 
@@ -214,11 +260,9 @@ def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | Non
                 centre = middle(own.join(centre.select("key", "d"), "key").where("c <> d"))
             pairs = own.join(centre, "key").where((F.col("c") != F.col("d")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
         else:
-            counted = saved(own.join(_shared_counts(sets, own.select("id").distinct(), _parts(docs)), "id"))
-            x, y = counted.alias("x"), counted.alias("y")
-            most = F.least("x.k", "y.k", "x.n", "y.n")
-            near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-            pairs = x.join(y, near).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
+            counts = _shared_counts(sets, own.select("id").distinct(), _parts(docs)).join(sets.select("id", "bits"), "id")
+            held = own.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
+            pairs = _possible(own.join(counts, "id").join(held, "id"), percent).toDF("id", "other")
         pairs = saved(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         found = saved(_confirm(pairs, sets, percent))
         links = found if links is None else saved(links.union(found))
