@@ -150,6 +150,7 @@ def marked(rows: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
     """The rows, with an id as first column, that a map marks, or the others."""
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))  # BITS / 8 bytes
 
+    @lean
     def run(batches):
         own = np.unpackbits(shared.value).astype(bool)
         for b in batches:

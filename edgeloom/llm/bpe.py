@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import pack, table
+from .base import lean, pack, table
 from .wordblocks import Block, bring_back, look_up, store
 
 _tables: dict = {}
@@ -74,6 +74,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded(doc_id, n_tokens, ids) and the bytes that its ids stand for, as data: every id is looked up in the token-byte table."""
 
+    @lean
     def run(batches):
         if ("bytes", path) not in _tables:
             _tables["bytes", path] = {i: b for b, i in load_ranks(path).items()}

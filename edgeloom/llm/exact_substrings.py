@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import GROUP_BYTES, NO_ID, id_map, marked, mix, pack, parts_for, saved, table, unpack
+from .base import NO_ID, id_map, lean, marked, mix, pack, parts_for, saved, table, text_bytes, trim, unpack
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Texts are cut into segments of so many bytes for the hashing, which overlap by a string less one.
 SEGMENT = 1 << 19
+#: Bytes of texts in a block, and for each part and home.
+GROUP_BYTES = 8 << 20
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _C[0])
 
@@ -122,6 +124,7 @@ def _find(parts: int):
                 out[1].append(pack(*place(fresh), before[fresh].astype(np.uint8), name[fresh], content[fresh], *place(known)))
         return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["part", "runs"])
 
+    @lean
     def run(batches):
         docs, found, size = [], [], 0
         wait: list[tuple[int, int, bytes]] = []
@@ -153,6 +156,7 @@ def _find(parts: int):
                         wait, waiting = [], 0
                     yield flush(docs, found)
                     docs, found, size = [], [], 0
+                    trim()
         if wait:
             work()
         if docs:
@@ -169,6 +173,7 @@ def _by_home(homes: np.ndarray, arrays: list[np.ndarray]) -> tuple[list, list]:
 
 def _sort_out(t: pa.Table) -> pa.Table:
     """Of a part's runs: the repeats, and what must be refined, by the home of the document."""
+    trim()
     blobs = [unpack(x) for x in t["runs"].to_pylist()]
     ids, numbers, homes, first, count, before, name, content, *known = (np.concatenate(x) for x in zip(*blobs, strict=True))
     rows = _repeated(name)
@@ -213,6 +218,7 @@ def _fetch(parts: int):
     """cogroup of texts and runs to refine: the runs with their bytes, a blob for each part."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         blobs = [unpack(x) for x in right["flags"].to_pylist()]
         home = right["home"][0].as_py() if right.num_rows else 0
         out: tuple[list, list] = ([], [])
@@ -239,6 +245,7 @@ def _fetch(parts: int):
 
 def _refine(t: pa.Table) -> pa.Table:
     """Of the strings of a part's runs: those that also start earlier, by the home of the document."""
+    trim()
     ids, numbers, homes, first, count, name, data = (np.concatenate(x) for x in zip(*[unpack(x) for x in t["runs"].to_pylist()], strict=True))
     count = count.astype(np.int64)
     begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
@@ -266,6 +273,8 @@ def _refine(t: pa.Table) -> pa.Table:
 
 
 def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The texts of a home without their marked strings."""
+    trim()
     blobs = [unpack(x) for x in right["flags"].to_pylist()]
     marks = {}
     if blobs:
@@ -298,7 +307,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     others = [F.struct(*([docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")])).alias("row")]
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *others)
-    parts = parts_for(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = parts_for(text_bytes(given), GROUP_BYTES)
     home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("home")  # with the text, as an id may be null or repeated
     found = given.select("doc_id", "text", home).mapInArrow(_find(parts), "part int, runs binary")
     flagged = "home int, kind int, flags binary"
@@ -327,7 +336,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["doc_id", "text", "row"])
 
-    whole = out.select("doc_id", "kept", "row").mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), out.schema["row"]]))
+    whole = out.select("doc_id", "kept", "row").mapInArrow(lean(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), out.schema["row"]]))
     columns = [F.col("doc_id").cast(f.dataType).alias(f.name) if f.name == "doc_id" else F.col("text") if f.name == "text" else F.length("text").cast(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col(f"row.`{f.name}`") for f in docs.schema]
     return whole.select(*columns)
 
