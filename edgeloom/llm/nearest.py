@@ -17,7 +17,7 @@ K, EVERY = 10, 100
 #: Projections (an even number), and the chance with which a true neighbour is still found when a search stops.
 PROJECTIONS, CONFIDENCE = 8, 0.99
 #: Vectors of a shard and queries of a block, which bound what one task holds; points of a leaf.
-SHARD, BLOCK, LEAF = 4096, 2048, 48
+SHARD, BLOCK, LEAF = 4096, 2048, 128
 
 
 def chi_square(p: float, m: int) -> float:
