@@ -201,7 +201,7 @@ def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
     return some.groupBy("part").applyInArrow(count, "home int, rows binary").groupBy("home").applyInArrow(add, "id long, k long")
 
 
-def _possible(members: DataFrame, percent: int) -> DataFrame:
+def _possible(members: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b): pairs of members(key, id, n, c, k, bits, keys) of a bucket in different components that may be similar enough.
 
     What two sets share is at most what either shares with any set, and what is left of either without the bits that only it has. These
@@ -214,25 +214,30 @@ def _possible(members: DataFrame, percent: int) -> DataFrame:
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("key", "id", "n", "c", "k", "bits", "keys", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
     def run(t: pa.Table) -> pa.Table:
-        key, i, j = (t[x][0].as_py() for x in ("key", "i", "j"))
-        ids, n, c, k, chunk = (t[x].to_numpy() for x in ("id", "n", "c", "k", "chunk"))
-        bits = np.array(t["bits"].to_pylist(), np.int64).reshape(len(ids), -1)
-        keys = t["keys"].to_pylist()
+        key, i, j, ids, n, c, k, chunk = (t[x].to_numpy() for x in ("key", "i", "j", "id", "n", "c", "k", "chunk"))
+        bits = t["bits"].combine_chunks().flatten().to_numpy().reshape(len(ids), MAP_LONGS)
+        keys = t["keys"].combine_chunks()
+        ends, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+        order = np.lexsort((ids, j, i, key))
+        cut = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
         out: tuple[list, list] = ([], [])
-        for r in range(len(ids)):
-            rest = np.arange(r + 1, len(ids))
-            rest = rest[(c[rest] != c[r]) & ((chunk[rest] != chunk[r]) if i != j else True)]
-            if not len(rest):
-                continue
-            mine, theirs = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits[r] & ~bits[rest], bits[rest] & ~bits[r]))
-            most = np.minimum(np.minimum(k[rest], n[rest] - theirs), np.minimum(k[r], n[r] - mine))
-            for s in rest[100 * most >= percent * (n[rest] + n[r] - most)].tolist():
-                if min(set(keys[r]) & set(keys[s])) == key:
-                    out[0].append(min(ids[r], ids[s]))
-                    out[1].append(max(ids[r], ids[s]))
+        for cell in np.split(order, cut[1:]):
+            across = i[cell[0]] != j[cell[0]]
+            for at, r in enumerate(cell[:-1].tolist()):
+                rest = cell[at + 1 :]
+                rest = rest[(c[rest] != c[r]) & ((chunk[rest] != chunk[r]) | ~across)]
+                if not len(rest):
+                    continue
+                mine, theirs = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits[r] & ~bits[rest], bits[rest] & ~bits[r]))
+                most = np.minimum(np.minimum(k[rest], n[rest] - theirs), np.minimum(k[r], n[r] - mine))
+                for s in rest[100 * most >= percent * (n[rest] + n[r] - most)].tolist():
+                    if np.intersect1d(flat[ends[r] : ends[r + 1]], flat[ends[s] : ends[s + 1]])[0] == key[r]:
+                        out[0].append(min(ids[r], ids[s]))
+                        out[1].append(max(ids[r], ids[s]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    # many cells to a task, so that small buckets cost little; a cell stays whole
+    return cells.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(8 * parts)).alias("task")).applyInArrow(run, "a long, b long")
 
 
 def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -262,7 +267,7 @@ def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | Non
         else:
             counts = _shared_counts(sets, own.select("id").distinct(), _parts(docs)).join(sets.select("id", "bits"), "id")
             held = own.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
-            pairs = _possible(own.join(counts, "id").join(held, "id"), percent).toDF("id", "other")
+            pairs = _possible(own.join(counts, "id").join(held, "id"), percent, _parts(docs)).toDF("id", "other")
         pairs = saved(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         found = saved(_confirm(pairs, sets, percent))
         links = found if links is None else saved(links.union(found))
