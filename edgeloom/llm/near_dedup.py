@@ -237,7 +237,7 @@ def _possible(members: DataFrame, percent: int, parts: int) -> DataFrame:
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     # many cells to a task, so that small buckets cost little; a cell stays whole
-    return cells.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(8 * parts)).alias("task")).applyInArrow(run, "a long, b long")
+    return cells.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(2 * parts)).alias("task")).applyInArrow(run, "a long, b long")
 
 
 def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
