@@ -272,7 +272,7 @@ def _refine(t: pa.Table) -> pa.Table:
     return pa.table({"home": pa.array(k, pa.int32()), "kind": pa.array([0] * len(k), pa.int32()), "flags": pa.array(v, pa.binary())})
 
 
-def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
+def _remove(left: pa.Table, right: pa.Table, whole_characters: bool) -> pa.Table:
     """The texts of a home without their marked strings."""
     trim()
     blobs = [unpack(x) for x in right["flags"].to_pylist()]
@@ -292,13 +292,16 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
         gone = np.cumsum(edge)[:-1] > 0
         removed.append(int(gone.sum()))
         spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-        kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+        rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
+        kept.append(rest.decode("utf-8", "ignore").encode() if whole_characters else rest)
     return pa.table({"doc_id": left["doc_id"], "n_bytes": pa.array([len(x) for x in left["text"].cast(pa.binary()).to_pylist()], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "row": left["row"]})
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, row) for every row of docs(doc_id, text); row: its further columns.
 
+    whole_characters: what is left of a character of which bytes are removed isn't kept either.
+
     kept has the bytes of the UTF-8 text that are in no string of LENGTH bytes which also starts earlier: in a document with a smaller
     doc_id, or earlier in the same. Strings never cross documents and are judged on the input. Null and empty texts have no bytes; texts of
     less than LENGTH bytes stay whole; long texts are read whole, in overlapping segments. A null doc_id comes before all others; rows that
@@ -320,7 +323,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         gone = gone.union(fetched.groupBy("part").applyInArrow(_refine, flagged))
     out = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), given.schema["row"]])
     left = marked(given.select("doc_id", "text", "row", home), some).groupBy("home")
-    cleaned = left.cogroup(gone.groupBy("home")).applyInArrow(_remove, out)
+    cleaned = left.cogroup(gone.groupBy("home")).applyInArrow(lambda a, b: _remove(a, b, whole_characters), out)
     same = marked(given, some, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), "row")
     return cleaned.union(same)
 
@@ -330,15 +333,9 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
     A character of which bytes are missing is dropped; n_chars, where there is such a column, counts what is left.
     """
-    out = remove_repeats(docs).where(F.length("kept") > 0)
-
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["doc_id", "text", "row"])
-
-    whole = out.select("doc_id", "kept", "row").mapInArrow(lean(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), out.schema["row"]]))
+    out = remove_repeats(docs, True).where(F.length("kept") > 0).select("doc_id", F.col("kept").cast("string").alias("text"), "row")
     columns = [F.col("doc_id").cast(f.dataType).alias(f.name) if f.name == "doc_id" else F.col("text") if f.name == "text" else F.length("text").cast(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col(f"row.`{f.name}`") for f in docs.schema]
-    return whole.select(*columns)
+    return out.select(*columns)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

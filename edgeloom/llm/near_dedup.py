@@ -108,6 +108,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                     ids, sets, size = [], [], 0
         if ids:
             yield out(ids, sets)
+        _hashes.clear()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, whole binary, keys array<long>")
 
@@ -129,6 +130,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = b.slice(i, 128)
                 sets = [shingles(t) for t in own.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.record_batch([own.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles", "bits"])
+        _hashes.clear()
 
     bits = id_map(wanted, lambda b: b.column(0).to_numpy())
     some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
@@ -245,8 +247,7 @@ def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | Non
 
     First the members of a bucket are compared with its most central one, then what isn't connected to that one with the most central of
     the rest; so a group of copies costs as many comparisons as it has members. What remains are members of a bucket in different
-    components. Of these, pairs go that their sizes, or the shingles which no other set has, keep below the threshold; the others are
-    compared in full.
+    components. Of these, _possible() leaves out pairs that can't reach the threshold; the others are compared in full.
     """
     sets = _sets(docs, members.select("id").distinct())
     links, known = None, None

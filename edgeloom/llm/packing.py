@@ -26,7 +26,7 @@ WELL_FILLED = 0.995
 #: What the tokenizer takes as white space beyond ASCII: it drops white space, so that the parts between don't touch each other.
 _WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: With bytes of the tokenizer's parts and ids in small memory, larger blocks cost less: fewer words stand in several of them.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 _tokenizers: dict = {}
 
@@ -84,8 +84,13 @@ class Tokenizer:
 
 
 def _parts(texts: list[str]):
+    """Parts between blanks. The tokenizer's lower case is applied here where it is plain, so that fewer parts differ."""
     for t in texts:
-        yield (t if t.isascii() else _WIDE_BLANK.sub(" ", t)).encode().split()  # bytes: the ASCII blanks only
+        if t.isascii():
+            b = t.encode()
+            yield (b if b"<|" in b else b.lower()).split()  # special tokens keep their case
+        else:
+            yield _WIDE_BLANK.sub(" ", t).encode().split()  # bytes: the ASCII blanks only
 
 
 def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
