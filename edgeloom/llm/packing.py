@@ -9,7 +9,6 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,9 +222,10 @@ def _islands(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     A sequence is named by its smallest item.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "item"], ascending=False, kind="stable")
-        sizes, item = pdf["length"].to_numpy(np.int64), pdf["item"].to_numpy(np.int64)
+    def run(t: pa.Table) -> pa.Table:
+        sizes, item = t["length"].to_numpy(), t["item"].to_numpy()
+        order = np.lexsort((item, sizes))[::-1]
+        sizes, item = sizes[order], item[order]
         least = -(-int(sizes.sum()) // capacity)
         best: list[np.ndarray] = []
         for m in range(MIGRATIONS):
@@ -238,9 +238,9 @@ def _islands(items: DataFrame, capacity: int, seed: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         n = np.diff(np.r_[first, len(of)])
         ends = np.cumsum(sizes)
-        return pd.DataFrame({"item": item, "sequence_id": np.repeat(item[first], n), "offset": ends - sizes - np.repeat((ends - sizes)[first], n), "fill": np.repeat(np.add.reduceat(sizes, first), n)})
+        return pa.table({"item": item, "sequence_id": np.repeat(item[first], n), "offset": ends - sizes - np.repeat((ends - sizes)[first], n), "fill": np.repeat(np.add.reduceat(sizes, first), n)})
 
-    return items.groupBy("shard").applyInPandas(run, "item long, sequence_id long, offset long, fill long")
+    return items.groupBy("shard").applyInArrow(run, "item long, sequence_id long, offset long, fill long")
 
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:

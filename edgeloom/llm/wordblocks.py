@@ -20,7 +20,8 @@ from .base import id_and_text, pack, parts_for, saved, text_bytes, trim, unpack
 
 #: So many word positions of a block are turned into ids at a time.
 STEP = 400_000
-BLOCK_BYTES = 8 << 20
+#: Bytes of whole texts in a block, and of texts for each part of the distinct words.
+BLOCK_BYTES = PART_BYTES = 8 << 20
 
 
 class _Numbers(dict):
@@ -58,7 +59,7 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
     counted: whether the words of the document of an id are to be counted; the counts of a block stand beside its words.
     """
     given = id_and_text(docs)
-    parts = parts_for(text_bytes(given), 2 * block_bytes)
+    parts = parts_for(text_bytes(given), PART_BYTES)
 
     def run(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
