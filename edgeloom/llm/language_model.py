@@ -14,9 +14,8 @@ from .base import drop, mix, pack, saved, table, unpack
 from .wordblocks import Block, bring_back, look_up, store
 
 STATES, ROUNDS = 8, 3
-#: Words seen less than LEAST times, or less than once in ONE_IN tokens, share the emissions of their class, which their last two bytes
-#: decide. The share is what keeps the expectations that blocks exchange in proportion to the corpus, however large it gets.
-LEAST, ONE_IN, CLASSES = 32, 400_000, 64
+#: Words seen less than LEAST times, in a corpus of any size, share the emissions of their class, which their last two bytes decide.
+LEAST, CLASSES = 32, 64
 #: Weight of the unigram model in each state's emissions, and of a uniform one in its transitions.
 PRIOR, MOVES = 5.0, 1.0
 #: Baum-Welch counts training texts in stretches of so many tokens, so many stretches at a time. Scores are of whole texts.
@@ -93,15 +92,14 @@ def _count(part: int, words: list, least: int):
     return blobs, {"tokens": sum(total.values()), "seen": sum(c > 0 for c in total.values()), "mass": mass}
 
 
-def _training_size(batches):
-    """Training texts of each block, and the words in them."""
+def _training_texts(batches):
+    """Training texts of each block."""
     for b in batches:
-        sizes = []
+        texts = []
         for blob in b.column(0).to_pylist():
-            doc, null, lengths = unpack(blob)[:3]
-            own = np.array([not is_held(None if n else i) for i, n in zip(doc.tolist(), null.tolist(), strict=True)], bool)
-            sizes.append((int(own.sum()), int(lengths[own].sum())))
-        yield pa.record_batch([pa.array([k for k, _ in sizes], pa.int64()), pa.array([n for _, n in sizes], pa.int64())], names=["texts", "words"])
+            doc, null = unpack(blob)[:2]
+            texts.append(sum(not is_held(None if n else i) for i, n in zip(doc.tolist(), null.tolist(), strict=True)))
+        yield pa.record_batch([pa.array(texts, pa.int64())], names=["texts"])
 
 
 class _Tokens:
@@ -243,9 +241,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     columns are ignored; an empty table gives an empty result.
     """
     blocks = store(docs, _split, lambda i: not is_held(i))
-    ends, running = blocks.select("docs").mapInArrow(_training_size, "texts long, words long").agg(F.sum("texts"), F.sum("words")).first()
-    ends, least = ends or 0, max(LEAST, -(-((running or 0) + (ends or 0)) // ONE_IN))
-    counts = saved(look_up(blocks, lambda part, words: _count(part, words, least), ", tokens long, seen long, mass array<double>"))
+    ends = blocks.select("docs").mapInArrow(_training_texts, "texts long").agg(F.sum("texts")).first()[0] or 0
+    counts = saved(look_up(blocks, lambda part, words: _count(part, words, LEAST), ", tokens long, seen long, mass array<double>"))
     tokens, seen = counts.agg(F.sum("tokens"), F.sum("seen")).first()
     tokens, seen = (tokens or 0) + ends, (seen or 0) + (ends > 0)
     mass = _added(counts, "mass")

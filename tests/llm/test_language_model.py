@@ -3,9 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from edgeloom.llm import language_model
-from edgeloom.llm.language_model import CLASSES, Model, score
+from edgeloom.llm.base import pack, unpack
+from edgeloom.llm.language_model import CLASSES, LEAST, RARE, Model, score
 
 from .conftest import frame
 
@@ -79,6 +81,27 @@ def test_forward_is_exact(spark):
     assert -0.32 < one.pop() < -0.29
 
 
+def test_frequent_words_do_not_depend_on_the_corpus(spark, monkeypatch):
+    """A word seen LEAST times has emissions of its own beside 100 million other tokens, too."""
+    trained = next(i for i in range(100) if not language_model.is_held(i))
+    text = pack(np.array([trained], np.int64), np.zeros(1, np.uint8), np.array([100_000_000], np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint32))
+    blocks = spark.createDataFrame([(0, bytearray(text))], "block long, docs binary")
+    answers = []
+
+    def caught(blocks, answer, extra=""):
+        answers.append(answer)
+        raise InterruptedError
+
+    monkeypatch.setattr(language_model, "store", lambda *a, **b: blocks)
+    monkeypatch.setattr(language_model, "look_up", caught)
+    with pytest.raises(InterruptedError):
+        score(None)
+    blobs, _ = answers[0](0, [([b"often", b"seldom"], np.array([LEAST, LEAST - 1]))])
+    numbers = unpack(blobs[0])[2]
+    assert numbers[0] != RARE
+    assert numbers[1] == RARE
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted([tuple(r) for r in language_model.op10_hidden_markov(spark, sf).collect()], key=order)
