@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import lean, table
+from .base import drop, lean, saved, table
 
 #: At most this share of good documents may fall to the rules of a stratum, but for a chance of DELTA over all strata.
 ALPHA, DELTA = 0.01, 0.05
-#: Labelled rows that the cutoffs are chosen on: those with the smallest hashes of their ids.
-HOLDOUT_ROWS = 20_000
 #: Cutoffs that each rule tries, and steps of a proposal; bad documents that a step must reject for each good one.
 STEPS, PRICE = 24, 20
+#: Values of a rule are counted in cells, so many to each doubling of the value; cutoffs are edges of cells.
+CELLS = 128
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 _BLANKS, _INNER = b" \t\n\v\f\r", bytes(range(0x80, 0xC0))
@@ -108,53 +108,132 @@ def rejected(values: np.ndarray, rule: int, cutoff: float) -> np.ndarray:
     return side * values[:, rule] > side * cutoff
 
 
+def _tails() -> np.ndarray:
+    return np.geomspace(0.001, 0.5, STEPS)
+
+
+def _gains(values: np.ndarray, good: np.ndarray, steps: list[tuple[int, float]], tries: list[tuple[int, float]]) -> np.ndarray:
+    """For each of tries what it adds to steps: bad documents rejected less PRICE for every good one."""
+    gone = _first_step(values, steps) < len(steps)
+    weight = np.where(good, -PRICE, 1) * ~gone
+    return np.array([weight[rejected(values, r, c)].sum() for r, c in tries], np.int64)
+
+
+def _first_step(values: np.ndarray, steps: list[tuple[int, float]]) -> np.ndarray:
+    """The number of the first step that rejects each document; len(steps): none does."""
+    out = np.full(len(values), len(steps))
+    for n in range(len(steps) - 1, -1, -1):
+        out[rejected(values, *steps[n])] = n
+    return out
+
+
 def propose(values: np.ndarray, good: np.ndarray) -> list[tuple[int, float]]:
     """Rules with cutoffs, each step adding what rejects the most bad documents beyond PRICE for every good one."""
     sides = [side for _, side in RULES.values()]
-    tails = np.geomspace(0.001, 0.5, STEPS)
-    tries = [(r, side * c) for r, side in enumerate(sides) for c in np.unique(np.quantile(side * values[:, r], 1 - tails))] if len(values) else []
-    hits = [rejected(values, r, c) for r, c in tries]
-    gone, out = np.zeros(len(values), bool), []
+    tries = [(r, side * c) for r, side in enumerate(sides) for c in np.unique(np.quantile(side * values[:, r], 1 - _tails()))] if len(values) else []
+    out: list[tuple[int, float]] = []
     while len(out) < STEPS:
-        gains = [int((h & ~gone & ~good).sum()) - PRICE * int((h & ~gone & good).sum()) for h in hits]
-        if not gains or max(gains) <= 0:
+        gains = _gains(values, good, out, tries)
+        if not len(gains) or gains.max() <= 0:
             break
-        out.append(tries[k := int(np.argmax(gains))])
-        gone |= hits[k]
+        out.append(tries[int(np.argmax(gains))])
     return out
 
 
 def certify(steps: list[tuple[int, float]], values: np.ndarray, good: np.ndarray, alpha: float, delta: float) -> list[tuple[int, float]]:
     """The longest run of steps that together reject at most alpha of good documents, proved with an error of at most delta.
 
-    values: a half of the holdout that had no part in the proposal. The runs are nested, so testing them in turn and stopping at the first
-    that fails needs no correction within a stratum (fixed sequence); each test is the exact binomial one.
+    values: a half of the holdout that had no part in the proposal.
+    """
+    return _proved(steps, np.bincount(_first_step(values[good], steps), minlength=len(steps) + 1), alpha, delta)
+
+
+def _proved(steps: list[tuple[int, float]], first: np.ndarray, alpha: float, delta: float) -> list[tuple[int, float]]:
+    """certify() from how many good documents each step is the first to reject; the last count is of those that none does.
+
+    The runs are nested, so testing them in turn and stopping at the first that fails needs no correction within a stratum (fixed
+    sequence); each test is the exact binomial one.
     """
-    gone = np.zeros(len(values), bool)
-    for n, (rule, cutoff) in enumerate(steps):
-        gone |= rejected(values, rule, cutoff)
-        if binomial_cdf(int((gone & good).sum()), int(good.sum()), alpha) > delta:
+    for n, k in enumerate(np.cumsum(first)[: len(steps)].tolist()):
+        if binomial_cdf(k, int(first.sum()), alpha) > delta:
             return steps[:n]
     return steps
 
 
+def _added(rows: DataFrame, count) -> dict[str, np.ndarray]:
+    """stratum -> the sums of count(stratum, values, good), an array or None, over the rows of the stratum; '' has all rows."""
+
+    def run(batches):
+        out: dict[str, np.ndarray] = {}
+        for b in batches:
+            lang, good = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(zero_copy_only=False)
+            values = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2, b.num_columns)])
+            for stratum in {"", *lang.tolist()}:
+                own = lang == stratum if stratum else np.ones(len(lang), bool)
+                n = count(stratum, values[own], good[own])
+                if n is not None:
+                    out[stratum] = out.get(stratum, 0) + n
+        yield pa.record_batch([pa.array(list(out), pa.string()), pa.array([n.tolist() for n in out.values()], pa.list_(pa.int64()))], names=["lang", "n"])
+
+    each = rows.select("lang", "good", *[f"_{r}" for r in RULES]).mapInArrow(run, "lang string, n array<long>").select("lang", F.posexplode("n").alias("k", "n"))
+    sums: dict[str, dict[int, int]] = {}
+    for r in each.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():  # as many rows as strata have counts
+        sums.setdefault(r["lang"], {})[r["k"]] = r["n"]
+    return {stratum: np.array([n[k] for k in range(len(n))], np.int64) for stratum, n in sums.items()}
+
+
+def _tries(rows: DataFrame) -> dict[str, list[tuple[int, float]]]:
+    """stratum -> the cutoffs that rules try: edges of cells, beyond which stand the shares of _tails(), to a cell."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.when(F.col(f"_{r}") > 0, F.floor(F.log2(f"_{r}") * CELLS)).alias("cell")) for k, r in enumerate(RULES)])).alias("x")
+    counts: dict[str, list[dict]] = {}
+    for r in rows.select("lang", cells).groupBy("lang", "x.rule", "x.cell").agg(F.count("*").alias("n")).collect():  # counts: cells are few, whatever the rows
+        for stratum in {"", r["lang"]}:
+            own = counts.setdefault(stratum, [{} for _ in RULES])[r["rule"]]
+            own[r["cell"]] = own.get(r["cell"], 0) + r["n"]
+    out: dict[str, list[tuple[int, float]]] = {}
+    for stratum, by_rule in counts.items():
+        out[stratum] = []
+        for k, (_, side) in enumerate(RULES.values()):
+            order = sorted(by_rule[k], key=lambda c: side * (-math.inf if c is None else c))
+            upto = np.cumsum([by_rule[k][c] for c in order])
+            at = np.searchsorted(upto, (1 - _tails()) * upto[-1])
+            edges = {0.0 if order[i] is None else 2.0 ** ((order[i] + (side > 0)) / CELLS) for i in at.tolist()}
+            out[stratum] += [(k, c) for c in sorted(edges, key=lambda c, s=side: s * c)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[tuple[int, float]]]:
-    """stratum -> its rules and cutoffs; the stratum '' holds all languages and is meant for those without labels.
+    """stratum -> its rules and cutoffs; the stratum '' holds all languages and is meant for those without labels."""
+    measured = saved(stats(docs))
+    out = fit_measured(measured, labels, alpha, delta)
+    drop(measured)
+    return out
+
+
+def fit_measured(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[tuple[int, float]]]:
+    """fit() from stats(docs). All labelled rows count; only counts by stratum, half, rule and cutoff come to the driver.
 
     delta is shared out over the strata (Bonferroni).
     """
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality"))
-    some = F.broadcast(own.orderBy(F.xxhash64("_id"), "_id").limit(HOLDOUT_ROWS))  # HOLDOUT_ROWS rows at most
-    held = docs.join(some, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    measured = stats(held).where(~base_failed()).join(some, F.col("doc_id") == F.col("_id"))
-    rows = measured.select("doc_id", "lang", "_quality", (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("half"), *[F.expr(f"double({e})").alias(f"_{r}") for r, (e, _) in RULES.items()]).toPandas().sort_values("doc_id", kind="stable")
-    strata = ["", *sorted(set(rows["lang"]) - {""})]
-    out = {}
-    for stratum in strata:
-        part = rows if stratum == "" else rows[rows["lang"] == stratum]
-        halves = [(x[[f"_{r}" for r in RULES]].to_numpy(float), x["_quality"].to_numpy() == 1) for x in (part[part["half"]], part[~part["half"]])]
-        out[stratum] = certify(propose(*halves[0]), *halves[1], alpha, delta / len(strata))
-    return out
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.min("quality") == 1).alias("good"))
+    half = (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("half")
+    rows = saved(measured.where(~base_failed()).join(own, F.col("doc_id") == F.col("_id")).select("lang", "good", half, *[F.expr(f"double({e})").alias(f"_{r}") for r, (e, _) in RULES.items()]))
+    proposing, certifying = rows.where("half"), rows.where("not half")
+    strata = ["", *sorted({r["lang"] for r in rows.select("lang").distinct().collect()} - {""})]  # a row for each language
+    tries, steps = _tries(proposing), {s: [] for s in strata}
+    growing = set(tries)
+    while growing:
+        gains = _added(proposing, lambda s, values, good, on=frozenset(growing), had=steps: _gains(values, good, had[s], tries[s]) if s in on else None)
+        for s in list(growing):
+            if gains[s].max() <= 0:
+                growing.remove(s)
+                continue
+            steps[s].append(tries[s][int(np.argmax(gains[s]))])
+            if len(steps[s]) == STEPS:
+                growing.remove(s)
+    first = _added(certifying, lambda s, values, good: np.bincount(_first_step(values[good], steps[s]), minlength=len(steps[s]) + 1))
+    drop(rows)
+    return {s: _proved(steps[s], first.get(s, np.zeros(len(steps[s]) + 1, np.int64)), alpha, delta / len(strata)) for s in strata}
 
 
 def keep(cutoffs: dict[str, list[tuple[int, float]]]) -> Column:
@@ -175,8 +254,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail; repeated rows and null ids keep their rows; a null or missing lang is a stratum without
     labels, for which the cutoffs of all languages together hold; without labels only the base rules decide. Further columns are ignored.
     """
-    verdict = ~base_failed() & keep(fit(docs, labels))
-    return stats(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict.alias("kept"))
+    measured = saved(stats(docs))
+    verdict = ~base_failed() & keep(fit_measured(measured, labels))
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict.alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -91,5 +91,15 @@ def test_learned_rules_reject_bad_documents(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def test_all_labelled_rows_count(spark):
+    """A language of 2,000 in 42,000 labelled rows: enough to certify a rule when all count, too few in any 20,000."""
+    text = "array_join(transform(sequence(1, 60), i -> concat('word', i, if(id % 4 = 0, '#$%', ''))), ' ')"
+    docs = spark.range(0, 42_000, 1, 4).selectExpr("id AS doc_id", f"{text} AS text", "if(id < 2000, 'xx', 'en') AS lang")
+    labels = spark.range(42_000).selectExpr("id AS doc_id", "int(id % 4 > 0) AS quality")
+    cutoffs = quality_rules.fit(docs, labels)
+    assert set(cutoffs) == {"", "en", "xx"}
+    assert all(cutoffs.values())
+
+
 def test_empty_table(spark, empty):
     assert judge(empty, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
