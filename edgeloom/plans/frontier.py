@@ -1,8 +1,9 @@
 """Neighbour expansion in rounds of DataFrame plans, for graphs that no task can hold.
 
 All p - 1 buckets grow at once. A round takes, in each bucket, the boundary vertices with the fewest open edges as core, adds their
-neighbours to the boundary, and gives it the open edges of core vertices. The number of vertices a round takes doubles, so there are few
-rounds. An edge that two buckets want goes to the lower one.
+neighbours to the boundary, and gives it the open edges of core vertices. The number of vertices a round takes doubles, and a bucket whose
+boundary has few open vertices gets seeds besides, half as many again each round, so there are few rounds on long and on scattered graphs
+too. An edge that two buckets want goes to the lower one.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from pyspark.sql.window import Window
 
 from ..config import PartitionConfig
 from ..operators.graph import Graph
+from ..operators.ranks import with_rank
 from ..storage import drop, saved
 
+#: Growth by the round of the open boundary vertices, or seeds, that a bucket has at least.
+SEEDS = 1.5
+
 
 def _room(capacity: int, sizes: dict[int, int]) -> Column:
     out = F.when(F.lit(False), F.lit(0))
@@ -32,13 +37,24 @@ def _pick(frontier: DataFrame, take: int, room: Column) -> DataFrame:
     return fits.groupBy("vid").agg(F.min("bucket").alias("bucket"))
 
 
-def frontier_expansion(graph: Graph, config: PartitionConfig, max_rounds: int = 40) -> DataFrame:
-    """Every edge gets one bucket; buckets but the last stop at their capacity, to the edges of one round."""
-    p, capacity, spark = config.p, config.capacity(graph.n_edges, 1.0), graph.edges.sparkSession
+def _seeds(live: DataFrame, need: dict[int, int], usual: float, seed: int) -> DataFrame:
+    """need[b] vertices with open edges for each bucket b, or as many as there are, at random; those with more than the usual last."""
+    order = live.select("vid", "key", (F.col("key") > usual).alias("late"), F.xxhash64("vid", F.lit(seed)).alias("at"))
+    ranked = with_rank(order, ["late", "at", "vid"], "n")
+    bucket, to = F.lit(None).cast("int"), 0
+    for b, n in need.items():
+        bucket, to = F.when(F.col("n").between(to, to + n - 1), F.lit(b)).otherwise(bucket), to + n
+    return saved(ranked.where(F.col("n") < to).select("vid", bucket.alias("bucket"), "key"))
+
+
+def frontier_expansion(graph: Graph, config: PartitionConfig) -> DataFrame:
+    """Every edge gets one bucket; buckets but the last reach their capacity unless edges run out, and stop there, to the edges of one
+    round. Each round gives an edge at least, so it ends."""
+    p, capacity = config.p, config.capacity(graph.n_edges, 1.0)
     open_edges, done = graph.edges.select("eid", "u", "v"), []
     sizes = dict.fromkeys(range(p - 1), 0)
-    boundary, take = None, 1
-    for _ in range(max_rounds if p > 1 else 0):
+    boundary, take, least = None, 1, 1.0
+    while True:
         growing = [b for b, n in sizes.items() if n < capacity]
         if not growing:
             break
@@ -48,12 +64,11 @@ def frontier_expansion(graph: Graph, config: PartitionConfig, max_rounds: int =
             break
         wanted = F.col("bucket").isin(growing)
         frontier = boundary.where(wanted).join(live, "vid") if boundary is not None else None
-        have = {r["bucket"] for r in frontier.select("bucket").distinct().collect()} if frontier is not None else set()  # at most p rows
-        if without := [b for b in growing if b not in have]:
-            seeds = live.select("vid", "key").where(F.col("key") <= F.lit(2 * 2 * graph.n_edges / graph.n_vertices)).orderBy(F.xxhash64("vid", F.lit(config.seed)), "vid").limit(len(without))
-            dealt = seeds.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("vid", F.lit(config.seed)), "vid")))  # at most p rows
-            table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("n"), F.lit(b).alias("bucket")) for i, b in enumerate(without)])).alias("x")).select("x.*")
-            fresh = dealt.join(F.broadcast(table), "n").select("vid", "bucket", "key")
+        have = {r["bucket"]: r["n"] for r in frontier.groupBy("bucket").agg(F.count("*").alias("n")).collect()} if frontier is not None else {}  # at most p rows
+        # a seed has an open edge, so no bucket needs more seeds than it has room
+        need = {b: n for b in growing if (n := min(int(least), capacity - sizes[b]) - have.get(b, 0)) > 0}
+        if need:
+            fresh = _seeds(live, need, 4 * graph.n_edges / graph.n_vertices, config.seed)
             frontier = fresh if frontier is None else frontier.select("vid", "bucket", "key").union(fresh)
         core = saved(_pick(frontier.select("vid", "bucket", "key"), take, _room(capacity, sizes)))
         c = lambda k, b: core.select(F.col("vid").alias(k), F.col("bucket").alias(b))
@@ -78,9 +93,9 @@ def frontier_expansion(graph: Graph, config: PartitionConfig, max_rounds: int =
             sizes[b] += n
         done.append(got)
         left = saved(open_edges.join(got.select("eid"), "eid", "left_anti"))
-        for old in (live, both, core):
+        for old in (live, both, core, *((open_edges, boundary) if boundary is not None else ())):
             drop(old)
-        open_edges, boundary, take = left, boundary_new, take * 2
+        open_edges, boundary, take, least = left, boundary_new, min(take * 2, graph.n_vertices), least * SEEDS
     out = open_edges.select("eid", "u", "v", F.lit(p - 1).alias("bucket"))
     for d in done:
         out = out.union(d)

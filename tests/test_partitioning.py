@@ -77,6 +77,18 @@ def test_every_method_covers_the_graph(spark, sf, method, p):
         assert (row.replication_factor, row.balance) == (1.0, 1.0)
 
 
+@pytest.mark.parametrize("shape", ["path", "pairs"])
+def test_frontier_fills_its_buckets(spark, shape):
+    """Graphs that 40 hops or 40 seeds don't cover: no bucket is left short, and the last gets no more than its share."""
+    edges = {"path": [(i, i + 1) for i in range(200)], "pairs": [(2 * i, 2 * i + 1) for i in range(120)]}[shape]
+    g = normalize(spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(edges)], "line_no long, src long, dst long"))
+    config = PartitionConfig(p=2, seed=4)
+    a = assign("ne_frontier", g, config)
+    validate(a, g.n_edges, 2)
+    sizes = [r.n_edges for r in bucket_sizes(a, 2).orderBy("bucket").collect()]
+    assert config.capacity(g.n_edges, 1.0) <= sizes[0] <= config.capacity(g.n_edges, 1.0) + 4
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)).filter(lambda e: e[0] != e[1]), min_size=1, max_size=200), st.integers(1, 6), st.integers(0, 5))
 def test_expansion_invariants(edges, p, seed):
