@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import lean, pack, table
-from .wordblocks import Block, bring_back, look_up, store
+from .base import lean, table
+from .wordblocks import Block, bring_back, encoding, look_up, store
 
 _tables: dict = {}
 
@@ -28,12 +28,13 @@ def load_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _encoding(path: str | None, pattern: str):
-    if (path, pattern) not in _tables:
+def _encoding(path: str | None):
+    """Takes each text as one pre-token."""
+    if path not in _tables:
         import tiktoken
 
-        _tables[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return _tables[path, pattern]
+        _tables[path] = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path), special_tokens={})
+    return _tables[path]
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -52,35 +53,42 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for t in texts:
             yield [w.encode() for w in find(t)]
 
-    def answer(part: int, words: list):
-        piece, known, out = _encoding(path, pattern)._core_bpe.encode_single_piece, {}, []
-        for own, _ in words:
-            found = []
-            for w in own:
-                if (ids := known.get(w)) is None:
-                    ids = known[w] = np.array(piece(w), "<u4").tobytes()
-                found.append(ids)
-            out.append(pack(np.fromiter((len(x) >> 2 for x in found), np.uint32, len(found)), np.frombuffer(b"".join(found), "<u4")))
-        return out, {}
+    def ids_of(words: list[bytes]) -> list[bytes]:
+        one = _encoding(path).encode_ordinary
+        return [np.array(one(w.decode()), "<u4").tobytes() for w in words]
 
     def finish(b: Block) -> pa.Table:
         out = b.sequences()
         return pa.table({"doc_id": b.ids, "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
 
     blocks = store(docs, words_of)
-    return bring_back(blocks, [look_up(blocks, answer)], finish, "doc_id long, n_tokens long, ids binary")
+    return bring_back(blocks, [look_up(blocks, encoding(ids_of))], finish, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded(doc_id, n_tokens, ids) and the bytes that its ids stand for, as data: every id is looked up in the token-byte table."""
+    """encoded(doc_id, n_tokens, ids) and the bytes that its ids stand for, as data.
+
+    A broadcast join of each batch's ids, by position, with the token-byte table, which is as large as the vocabulary. An id that the table
+    doesn't have raises.
+    """
+    ranks = load_ranks(path)
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        tokens[i] = b
+    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
 
     @lean
     def run(batches):
-        if ("bytes", path) not in _tables:
-            _tables["bytes", path] = {i: b for b, i in load_ranks(path).items()}
-        token = _tables["bytes", path].__getitem__
+        table = pa.array(shared.value, pa.large_binary())
         for b in batches:
-            data = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in b.column(2).to_pylist()]
+            data = []
+            for x in b.column(2).to_pylist():
+                own = table.take(pa.array(np.frombuffer(x, "<u4")))  # the join: each id fetches its row
+                if own.null_count:
+                    raise ValueError("an id stands for no token")
+                _, ends, text = own.buffers()
+                at = np.frombuffer(ends, np.int64, len(own) + 1, own.offset * 8)
+                data.append(text.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(own) else b"")
             yield pa.record_batch([*[b.column(k) for k in range(3)], pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "ids", "data"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, data binary")

@@ -1,14 +1,19 @@
 """Texts as blocks of word numbers: the base of operators that look each distinct word up once and bring the answer back.
 
 A block holds some 8 MB of whole texts: its distinct words, dealt over parts by their hashes, and for every document the numbers of its
-words in order. Only (block, distinct word) pairs are shuffled, in one blob for each block and part, so a word as frequent as may be comes
-once from each block. The blocks are stored in buckets of the shared folder; what is brought back is shuffled to them, they stay in place.
+words in order. Only (block, distinct word) pairs are shuffled, in one blob for each block and part that share a word. So a block sends no
+more blobs than it has distinct words, however many parts there are, and a word as frequent as may be comes once from each block. The blobs
+of a part are dealt over groups of GROUP_BLOCKS blocks: groups add up their words, one task for each part merges the sums and finds the
+answers, and each group then answers its blocks. With few blocks a part is one group and does all three at once.
+
+The blocks are stored in buckets of the shared folder; what is brought back is shuffled to them, they stay in place.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,10 @@ from .base import id_and_text, pack, parts_for, saved, text_bytes, trim, unpack
 STEP = 400_000
 #: Bytes of whole texts in a block, and of texts for each part of the distinct words.
 BLOCK_BYTES = PART_BYTES = 8 << 20
+#: Buckets in which blocks are stored, at most; a task then streams the blocks of its bucket, one at a time.
+MOST_BUCKETS = 4096
+#: Blocks whose blobs of one part a task holds.
+GROUP_BLOCKS = 4096
 
 
 class _Numbers(dict):
@@ -36,8 +45,12 @@ def pack_words(words: list[bytes], counts: np.ndarray) -> bytes:
 
 def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
     lengths, data, counts = unpack(blob)
+    return _cut(lengths, data), counts
+
+
+def _cut(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
     data, ends = data.tobytes(), np.cumsum(lengths, dtype=np.int64)
-    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], counts
+    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, parts: int, counted: Callable | None) -> tuple:
@@ -46,15 +59,15 @@ def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, p
     counts = np.bincount(np.concatenate(own), minlength=len(words)) if own else np.zeros(len(words), np.int64)
     part = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(parts)
     order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
-    blobs = [pack_words([words[k] for k in order[a:b].tolist()], counts[order[a:b]]) if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    cut = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0][: len(words)]).tolist()
+    blobs = [{"part": int(part[order[a]]), "words": pack_words([words[k] for k in order[a:b].tolist()], counts[order[a:b]])} for a, b in zip(cut, [*cut[1:], len(words)], strict=True)]
     null = np.array([x is None for x in ids], np.uint8)
     docs = pack(np.array([x or 0 for x in ids], np.int64), null, np.fromiter(map(len, positions), np.uint32, len(positions)), np.concatenate(positions), part)
     return number, docs, blobs
 
 
 def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]], counted: Callable | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, docs, words) for docs(doc_id, text); words_of gives the words of each text of a batch.
+    """(block, docs, words) for docs(doc_id, text); words_of gives the words of each text of a batch. words: a blob for each part that has any.
 
     counted: whether the words of the document of an id are to be counted; the counts of a block stand beside its words.
     """
@@ -67,7 +80,7 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
 
         def out():
             b = _block(base + n, ids, positions, numbers, parts, counted)
-            return pa.record_batch([pa.array([x], t) for x, t in zip(b, (pa.int64(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["block", "docs", "words"])
+            return pa.record_batch([pa.array([x], t) for x, t in zip(b, (pa.int64(), pa.binary(), pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))), strict=True)], names=["block", "docs", "words"])
 
         for b in batches:
             for i in range(0, b.num_rows, 64):
@@ -77,34 +90,112 @@ def store(docs: DataFrame, words_of: Callable[[list[str]], Iterable[list[bytes]]
                     ids.append(doc)
                     positions.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                     size += len(text) + 64
-                if size >= block_bytes:
-                    yield out()
-                    n += 1
-                    ids, positions, numbers, size = [], [], _Numbers(), 0
-                    trim()
+                    if size >= block_bytes:
+                        yield out()
+                        n += 1
+                        ids, positions, numbers, size = [], [], _Numbers(), 0
+                        trim()
         if ids:
             yield out()
         ids, positions, numbers = [], [], _Numbers()
         trim()
 
-    return saved(given.mapInArrow(run, "block long, docs binary, words array<binary>"), (parts, "block"))
+    return saved(given.mapInArrow(run, "block long, docs binary, words array<struct<part int, words binary>>"), (min(parts, MOST_BUCKETS), "block"))
 
 
-def look_up(blocks: DataFrame, answer: Callable, extra: str = "") -> DataFrame:
-    """(block, part, values, ...) for each block and part.
+@dataclass(frozen=True)
+class Exchange:
+    """What the groups of a part do with their blobs; a state is a dict or an array.
 
-    answer(part, words): from a list of (words, counts) for each block in a part, to a blob of values for each block in the order of its
-    words, and the values of the extra columns, which belong to the whole part and are null in all its rows but one.
+    read: a blob as the other steps take it. add: a state from the blobs of a group. merge: the state of the part from those of its groups,
+    with the answers. answer: for each blob one of values, in the order of its words. dump, load: a state as bytes. extra: of the state of
+    a part, the values of further columns, which stand in one row of the part and are null in the others.
     """
-    pieces = blocks.select("block", F.posexplode("words").alias("part", "words")).where("words is not null")
 
-    def run(t: pa.Table) -> pa.Table:
-        blobs, more = answer(t["part"][0].as_py(), [unpack_words(x) for x in t["words"].to_pylist()])
-        columns = {"block": t["block"], "part": t["part"].cast(pa.int32()), "values": pa.array(blobs, pa.binary())}
+    read: Callable
+    add: Callable
+    merge: Callable
+    answer: Callable
+    dump: Callable
+    load: Callable
+    extra: Callable | None = None
+
+
+def exchange(pieces: DataFrame, column: str, x: Exchange, groups: int, more: str = "") -> DataFrame:
+    """(block, part, values, ...) for pieces(block, part, column)."""
+    names = [f.split()[0] for f in more.split(", ") if f]
+    schema = f"block long, part int, values binary{', ' * bool(more)}{more}"
+
+    def table(blocks: pa.ChunkedArray, part: pa.ChunkedArray, values: list, extra: dict | None) -> pa.Table:
+        n = len(values)
+        return pa.table({"block": blocks, "part": part.cast(pa.int32()), "values": pa.array(values, pa.binary())} | {c: pa.array([(extra or {}).get(c)] + [None] * (n - 1)) if extra else pa.array([None] * n) for c in names})
+
+    def blobs(t: pa.Table) -> list:
+        return [x.read(b) for b in t[column].to_pylist()]
+
+    def at_once(t: pa.Table) -> pa.Table:
+        own = blobs(t)
+        state = x.merge([x.add(own)])
+        out = table(t["block"], t["part"], x.answer(state, own), x.extra(state) if x.extra else None)
+        trim()
+        return out
+
+    def of_group(t: pa.Table) -> pa.Table:
+        return pa.table({"part": t["part"][:1].cast(pa.int32()), "state": pa.array([x.dump(x.add(blobs(t)))], pa.binary())})
+
+    def of_part(t: pa.Table) -> pa.Table:
+        return pa.table({"part": t["part"][:1].cast(pa.int32()), "state": pa.array([x.dump(x.merge([x.load(s) for s in t["state"].to_pylist()]))], pa.binary())})
+
+    def of_blocks(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        state = x.load(right["state"][0].as_py())
+        out = table(left["block"], left["part"], x.answer(state, blobs(left)), x.extra(state) if x.extra and key[1].as_py() == right["first"][0].as_py() else None)
         trim()
-        return pa.table(columns | {name: pa.array([v] + [None] * (t.num_rows - 1)) for name, v in more.items()})
+        return out
+
+    if groups == 1:
+        return pieces.groupBy("part").applyInArrow(at_once, schema)
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    states = dealt.groupBy("part", "grp").applyInArrow(of_group, "part int, state binary").groupBy("part").applyInArrow(of_part, "part int, state binary")
+    some = dealt.groupBy("part").agg(F.collect_set("grp").alias("grps"), F.min("grp").alias("first"))  # as many as there are groups, at most
+    right = some.join(states.toDF("own", "state"), F.col("part") == F.col("own")).select(F.col("own").alias("of_part"), "state", "first", F.explode("grps").alias("of_grp"))
+    return dealt.groupBy("part", "grp").cogroup(right.groupBy("of_part", "of_grp")).applyInArrow(of_blocks, schema)
+
+
+def groups_of(blocks: DataFrame) -> int:
+    return max(1, -(-blocks.count() // GROUP_BLOCKS))
+
+
+def look_up(blocks: DataFrame, x: Exchange, more: str = "") -> DataFrame:
+    """(block, part, values, ...) for each block and part that has words of it, from the words and their counts."""
+    pieces = blocks.select("block", F.inline("words"))
+    return exchange(pieces, "words", x, groups_of(blocks), more)
+
+
+def encoding(encode: Callable[[list[bytes]], list[bytes]]) -> Exchange:
+    """The exchange that gives each word its little-endian unsigned 32-bit ids; encode() sees each distinct word once."""
+    distinct = lambda parts: list({w for own in parts for w in own})
+
+    def merge(states: list) -> dict:
+        words = distinct(states)
+        return dict(zip(words, encode(words), strict=True))
+
+    def answer(state: dict, own: list) -> list[bytes]:
+        out = []
+        for words, _ in own:
+            found = list(map(state.__getitem__, words))
+            out.append(pack(np.fromiter((len(i) >> 2 for i in found), np.uint32, len(found)), np.frombuffer(b"".join(found), "<u4")))
+        return out
+
+    def dump(state) -> bytes:
+        words = list(state)
+        ids = list(state.values()) if isinstance(state, dict) else [b""] * len(words)
+        return pack(*(a for x in (words, ids) for a in (np.fromiter(map(len, x), np.uint32, len(x)), np.frombuffer(b"".join(x), np.uint8))))
+
+    def load(blob: bytes) -> dict:
+        w, words, i, ids = unpack(blob)
+        return dict(zip(_cut(w, words), _cut(i, ids), strict=True))
 
-    return pieces.groupBy("part").applyInArrow(run, f"block long, part int, values binary{extra}")
+    return Exchange(unpack_words, lambda own: distinct([w for w, _ in own]), merge, answer, dump, load)
 
 
 class Block:

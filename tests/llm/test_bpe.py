@@ -3,9 +3,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
-from edgeloom.llm import bpe
+from edgeloom.llm import bpe, wordblocks
 from edgeloom.llm.bpe import decode, encode, load_ranks
 
 
@@ -42,3 +43,20 @@ def test_query(spark, sf):
         ids = enc.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("parts, group", [(200_000, 4096), (3, 1), (12, 2)])
+def test_any_parts_and_groups(spark, docs, rows, monkeypatch, parts, group):
+    """More parts than a table can have buckets, and parts whose blocks are answered in several groups; a word is in every block."""
+    monkeypatch.setattr(wordblocks, "parts_for", lambda *a: parts)
+    monkeypatch.setattr(wordblocks, "GROUP_BLOCKS", group)
+    monkeypatch.setattr(wordblocks, "MOST_BUCKETS", 64)
+    enc = reference()
+    blocks = []
+    store = wordblocks.store
+    monkeypatch.setattr(bpe, "store", lambda *a: blocks.append(store(*a, block_bytes=2000)) or blocks[0])
+    got = Counter((r.doc_id, bytes(r.ids)) for r in encode(docs.where("length(text) < 5000").repartition(6)).collect())
+    want = Counter((i, np.array(enc.encode_ordinary(t), "<u4").tobytes()) for i, t in rows if t is not None and len(t) < 5000)
+    assert got == want
+    assert blocks[0].count() > 4
+    assert blocks[0].selectExpr("max(size(words)) as n").first()["n"] <= min(parts, 2000)
