@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import drop, saved, table, unpack
 from .base import pack as pack_arrays
-from .base import saved, table
-from .wordblocks import Block, bring_back, look_up, store
+from .wordblocks import Block, bring_back, encoding, look_up, store
 
 LENGTH = 2048
-#: Pieces of a shard, islands of a shard, generations between migrations, rounds of migration, solutions on an island.
-SHARD_PIECES, ISLANDS, GENERATIONS, MIGRATIONS, POPULATION = 4096, 2, 6, 2, 4
+#: Pieces of a shard, islands of a shard, generations between migrations, epochs (with a migration between), solutions on an island.
+SHARD_PIECES, ISLANDS, GENERATIONS, EPOCHS, POPULATION = 4096, 2, 8, 2, 4
+#: Share of the bins that a crossover injects, at most, and bins that a mutation dissolves on average.
+INJECTED, DISSOLVED = 0.1, 3
 #: Bins filled to less go on to the next level, where they meet bins of other shards.
 WELL_FILLED = 0.995
 #: What the tokenizer takes as white space beyond ASCII: it drops white space, so that the parts between don't touch each other.
@@ -102,16 +104,10 @@ def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
 
         path = public_tokenizers.path("word_bpe_49k.json")
 
-    def answer(part: int, words: list):
+    def ids_of(words: list[bytes]) -> list[bytes]:
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer(path)
-        distinct = list({w for own, _ in words for w in own})
-        known = dict(zip(distinct, _tokenizers[path].ids([w.decode() for w in distinct]), strict=True))
-        out = []
-        for own, _ in words:
-            found = list(map(known.__getitem__, own))
-            out.append(pack_arrays(np.fromiter((len(x) >> 2 for x in found), np.uint32, len(found)), np.frombuffer(b"".join(found), "<u4")))
-        return out, {}
+        return _tokenizers[path].ids([w.decode() for w in words])
 
     def finish(b: Block) -> pa.Table:
         rows: list[tuple] = []
@@ -126,7 +122,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
 
     blocks = store(docs, _parts, block_bytes=BLOCK_BYTES)
-    return bring_back(blocks, [look_up(blocks, answer)], finish, "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return bring_back(blocks, [look_up(blocks, encoding(ids_of))], finish, "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class Bins:
@@ -158,7 +154,7 @@ class Bins:
 
 
 def solve(sizes: np.ndarray, capacity: int, of: np.ndarray | None = None, drop: np.ndarray | None = None) -> Bins:
-    """A solution from scratch, or from the bins in `of` without those that `drop` marks, whose items are placed anew."""
+    """A solution by best fit, from scratch, or from the bins in `of` without those that `drop` marks, whose items are placed anew."""
     out = Bins(sizes, capacity)
     if of is not None and len(of):
         keep = np.ones(of.max() + 1, bool) if drop is None else ~drop
@@ -171,12 +167,27 @@ def solve(sizes: np.ndarray, capacity: int, of: np.ndarray | None = None, drop:
     return out
 
 
+def first_fit(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
+    """The items in a random order, each into the first of the last open bins that takes it."""
+    out, open_bins = Bins(sizes, capacity), []
+    for i in rng.permutation(len(sizes)).tolist():
+        s = int(sizes[i])
+        k = next((k for k in open_bins if out.room[k] >= s), None)
+        if k is None:
+            k = len(out.room)
+            out.room.append(capacity)
+            open_bins = [*open_bins[-15:], k]
+        out.of[i] = k
+        out.room[k] -= s
+    return out
+
+
 def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
     """Well-filled bins of b are injected whole into a; bins of a that share items with them go, and their other items are best-fitted."""
     fill = b.capacity - np.array(b.room)
     order = np.argsort(-fill + rng.uniform(0, b.capacity / 64, len(fill)))
     chosen = np.zeros(len(fill), bool)
-    chosen[order[: max(1, int(len(fill) * rng.uniform(0.1, 0.5)))]] = True
+    chosen[order[: max(1, int(len(fill) * rng.uniform(0, INJECTED)))]] = True
     taken = chosen[b.of]
     broken = np.zeros(len(a.room), bool)
     broken[a.of[taken]] = True
@@ -196,71 +207,126 @@ def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
 def mutate(a: Bins, rng: np.random.Generator) -> Bins:
     """The emptiest bin and a few others are dissolved."""
     room = np.array(a.room)
-    drop = rng.random(len(room)) < 3 / len(room)
+    drop = rng.random(len(room)) < DISSOLVED / len(room)
     drop[room.argmax()] = True
     return solve(a.sizes, a.capacity, a.of.astype(np.int64), drop)
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray]) -> np.ndarray:
-    """The best solution of one island after its generations; it stops at the fewest bins that any packing needs."""
-    rng, least = np.random.default_rng(seed), -(-int(sizes.sum()) // capacity)
-    pool = [solve(sizes, capacity, e.astype(np.int64)) for e in elites] or [solve(sizes, capacity)]
-    while len(pool) < POPULATION and len(pool[0].room) > least:
-        pool.append(mutate(pool[0], rng))
+def found(sizes: np.ndarray, capacity: int, island: int, rng: np.random.Generator) -> list[Bins]:
+    """The first solutions of an island: random ones by first fit, and on the first island the one by best fit, so none ends up worse."""
+    return [solve(sizes, capacity)] * (island == 0) + [first_fit(sizes, capacity, rng) for _ in range(POPULATION - (island == 0))]
+
+
+def evolve(pool: list[Bins], rng: np.random.Generator) -> tuple[list[Bins], int]:
+    """The solutions of an island after its generations, the best first, and the number of crossovers.
+
+    The parents of a generation are the better of two drawn at random and any other; the children, one as it is and one mutated, take the
+    places of the worst. The best stays.
+    """
+    crossovers = 0
     for _ in range(GENERATIONS):
         pool.sort(key=Bins.fitness)
-        if len(pool[0].room) <= least:
+        if len(pool) < 2:
             break
-        child = crossover(pool[0], pool[int(rng.integers(1, len(pool)))], rng)
-        pool = [*pool[: POPULATION - 2], mutate(child, rng), child]
-    return min(pool, key=Bins.fitness).of
-
+        first = min(rng.integers(0, len(pool), 2).tolist())
+        second = int(rng.choice([k for k in range(len(pool)) if k != first]))
+        child = crossover(pool[first], pool[second], rng)
+        crossovers += 1
+        pool = [*pool[: max(1, POPULATION - 2)], child, mutate(child, rng)]
+    return sorted(pool, key=Bins.fitness)[:POPULATION], crossovers
 
-def _islands(items: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """(item, sequence_id, offset, fill) for items(shard, item, length): islands of a shard start alike and swap elites in a ring.
 
-    A sequence is named by its smallest item.
-    """
+def _gather(items: DataFrame) -> DataFrame:
+    """(shard, n, items): a blob for each shard of items(shard, item, length), the largest first."""
 
     def run(t: pa.Table) -> pa.Table:
         sizes, item = t["length"].to_numpy(), t["item"].to_numpy()
         order = np.lexsort((item, sizes))[::-1]
-        sizes, item = sizes[order], item[order]
-        least = -(-int(sizes.sum()) // capacity)
-        best: list[np.ndarray] = []
-        for m in range(MIGRATIONS):
-            best = [evolve(sizes, capacity, seed * 1000 + m * 100 + k, [best[k], best[k - 1]] if best else []) for k in range(ISLANDS)]
-            if min(int(b.max()) + 1 for b in best) <= least:
-                break
-        of = min(best, key=lambda b: solve(sizes, capacity, b.astype(np.int64)).fitness())
-        order = np.lexsort((item, of))
-        of, sizes, item = of[order], sizes[order], item[order]
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        n = np.diff(np.r_[first, len(of)])
-        ends = np.cumsum(sizes)
-        return pa.table({"item": item, "sequence_id": np.repeat(item[first], n), "offset": ends - sizes - np.repeat((ends - sizes)[first], n), "fill": np.repeat(np.add.reduceat(sizes, first), n)})
-
-    return items.groupBy("shard").applyInArrow(run, "item long, sequence_id long, offset long, fill long")
+        return pa.table({"shard": t["shard"][:1], "items": pa.array([pack_arrays(sizes[order].astype(np.int32), item[order])], pa.binary())})
+
+    return items.groupBy("shard").applyInArrow(run, "shard long, items binary")
+
+
+def _epoch(shards: DataFrame, states: DataFrame | None, capacity: int, seed: int) -> DataFrame:
+    """(shard, island, best, crossovers, pool): each island's solutions after the generations of an epoch; an island is a row of its own.
+
+    states: what the epoch before left, which is stored; the elite of the island before, in a ring, comes along.
+    """
+    islands = shards.select("shard", "items", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+    if states is None:
+        given = islands.select("shard", "island", "items", F.lit(None).cast("binary").alias("pool"), F.lit(None).cast("binary").alias("elite"))
+    else:
+        elites = states.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("pool").alias("elite"))
+        given = islands.join(states.select("shard", "island", "pool"), ["shard", "island"]).join(elites, ["shard", "island"]).select("shard", "island", "items", "pool", "elite")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for shard, island, items, pool, elite in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                sizes = unpack(items)[0].astype(np.int64)
+                rng = np.random.default_rng([seed, shard, island])
+                if pool is None:
+                    own = found(sizes, capacity, island, rng)
+                else:
+                    own = [solve(sizes, capacity, of.astype(np.int64)) for of in (*unpack(pool), unpack(elite)[0])]
+                own, crossovers = evolve(own, rng)
+                out.append((shard, island, len(own[0].room), own[0].fitness()[1], crossovers, pack_arrays(*[x.of for x in own])))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, kinds, strict=True)], names=["shard", "island", "n_bins", "fill", "crossovers", "pool"])
+
+    return given.repartition("shard", "island").mapInArrow(run, "shard long, island int, n_bins int, fill double, crossovers int, pool binary")
+
+
+def islands(items: DataFrame, capacity: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(item, sequence_id, offset, fill, bin) for items(shard, item, length), and the islands of the last epoch.
+
+    Each pair of a shard and an island is evolved by itself. Between epochs its solutions are stored, and its elite goes to the next island
+    of the shard. In the end the best island of a shard decides. A sequence is named by its smallest item.
+    """
+    shards, states = saved(_gather(items)), None
+    for epoch in range(EPOCHS):
+        old, states = states, saved(_epoch(shards, states, capacity, seed * 1000 + epoch))
+        if old is not None:
+            drop(old)
+    best = states.groupBy("shard").agg(F.min(F.struct("n_bins", "fill", "island")).alias("x")).select("shard", "x.island")
+
+    def run(batches):
+        for b in batches:
+            for items, pool in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sizes, item = unpack(items)
+                sizes, of = sizes.astype(np.int64), unpack(pool)[0]
+                order = np.lexsort((item, of))
+                of, sizes, item = of[order], sizes[order], item[order]
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                n = np.diff(np.r_[first, len(of)])
+                ends = np.cumsum(sizes)
+                columns = {"item": item, "length": sizes, "sequence_id": np.repeat(item[first], n), "offset": ends - sizes - np.repeat((ends - sizes)[first], n), "fill": np.repeat(np.add.reduceat(sizes, first), n)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    chosen = shards.join(states.join(best, ["shard", "island"]).select("shard", "pool"), "shard").select("items", "pool")
+    return chosen.mapInArrow(run, "item long, length long, sequence_id long, offset long, fill long"), states
 
 
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """Adds sequence_id and offset to pieces(item, length, ...), item being unique and no piece longer than a sequence.
 
-    Full pieces are sequences by themselves. The others are dealt over shards of bounded size, each packed by its islands. Bins that stay
-    less than WELL_FILLED meet again in new shards, until they fit in one shard or stop getting fewer.
+    Full pieces are sequences by themselves. The others are dealt over shards of bounded size, each packed by its islands. The pieces of
+    bins that stay less than WELL_FILLED meet again in new shards, until they fit in one shard or a level leaves as many such bins as the
+    one before.
     """
     alone = pieces.where(F.col("length") == length).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, done, level = pieces.where(F.col("length") < length).select("item", "length"), [alone], 0
+    rest, done, level, before = pieces.where(F.col("length") < length).select("item", "length"), [alone], 0, None
     n = rest.count()
     while n:
         shards = -(-n // SHARD_PIECES)
-        placed = saved(_islands(rest.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards))), length, level).join(rest, "item"))
+        placed = saved(islands(rest.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards))), length, level)[0])
         again = placed.where(F.col("fill") < int(WELL_FILLED * length))
-        left = again.count() if shards > 1 else 0
-        if left > n / 2:
-            left = 0
-        done.append((placed.where(F.col("fill") >= int(WELL_FILLED * length)) if left else placed).select("item", "sequence_id", "offset"))
-        rest, n, level = again.select("item", "length"), left, level + 1
+        left, bins = again.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if shards == 1 or (before is not None and bins >= before):
+            done.append(placed.select("item", "sequence_id", "offset"))
+            break
+        done.append(placed.where(F.col("fill") >= int(WELL_FILLED * length)).select("item", "sequence_id", "offset"))
+        rest, n, level, before = again.select("item", "length"), left, level + 1, bins
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
