@@ -1,4 +1,8 @@
-"""Hidden Markov language model: Baum-Welch counts are added up over the blocks of all texts; the forward recursion scores each text."""
+"""Hidden Markov language model: Baum-Welch counts are added up over the blocks of all texts; the forward recursion scores each text.
+
+Sequences are whole texts. What depends on the place before or after is carried over the stretches into which long ones are cut for the
+arithmetic: the matrix of a stretch takes the forward vector over it, and the backward one, so all stretches are worked on side by side.
+"""
 
 from __future__ import annotations
 
@@ -11,17 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import drop, mix, pack, saved, table, unpack
-from .wordblocks import Block, bring_back, look_up, store
+from .wordblocks import Block, Exchange, bring_back, exchange, groups_of, look_up, spans, store, unpack_words
 
-STATES, ROUNDS = 8, 3
-#: Words seen less than LEAST times, in a corpus of any size, share the emissions of their class, which their last two bytes decide.
-LEAST, CLASSES = 32, 64
+#: Rounds of Baum-Welch, at most; they stop when the log likelihood gains less than this share of itself.
+STATES, ROUNDS, TOLERANCE = 8, 3, 0.001
 #: Weight of the unigram model in each state's emissions, and of a uniform one in its transitions.
 PRIOR, MOVES = 5.0, 1.0
-#: Baum-Welch counts training texts in stretches of so many tokens, so many stretches at a time. Scores are of whole texts.
-STRETCH, TOGETHER = 128, 2048
+#: Tokens of a stretch, and of the stretches that are worked on side by side.
+STRETCH, AT_ONCE = 512, 1 << 19
+#: Blocks of more text have fewer pairs of a block and a word in all, whose expectations are exchanged.
+BLOCK_BYTES = 12 << 20
 FOLDS, HELD = 7, 2
-RARE = np.uint32(0xFFFFFFFF)
 
 
 def is_held(doc_id: int | None) -> bool:
@@ -33,24 +37,22 @@ def is_held(doc_id: int | None) -> bool:
 class Model:
     """Counts of the training tokens, and the expectations of the last round: None before the first.
 
-    A state emits a frequent word, the end, the class of a rare word (and a word of it by its unigram share) or an unknown word.
+    A state emits every word seen in training, the end, or an unknown word.
     """
 
     tokens: int
     distinct: int
     ends: int
-    mass: np.ndarray
     start: np.ndarray
     moves: np.ndarray
     total: np.ndarray | None = None
-    classes: np.ndarray | None = None
     end: np.ndarray | None = None
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.tokens + self.distinct + 1)
 
-    def emissions(self, counts: np.ndarray, seen: np.ndarray, kinds: np.ndarray, expected: np.ndarray, frequent: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """A row for each word, the last being the end's: the chance of it in each state."""
+    def emissions(self, counts: np.ndarray, expected: np.ndarray | None, salt: np.ndarray) -> np.ndarray:
+        """A row for each word, the last being the end's: the chance of it in each state. expected: the words' expectations."""
         k = len(self.start)
         base = self.unigram(np.r_[counts, self.ends])[:, None]
         if self.total is None:  # a start that tells the states apart, the same on every executor
@@ -59,14 +61,7 @@ class Model:
         # every type, the unknown one too, is seen once more, in the states' shares: as in the unigram model
         share = self.total / max(self.total.sum(), 1e-300)
         scale = self.total + share * (self.distinct + 1) + PRIOR
-        types = np.maximum(self.mass * (self.tokens + self.distinct + 1) - self.classes.sum(1), 0)[:, None]
-        rare = (self.classes + types * share + PRIOR * self.mass[:, None]) / np.maximum(self.mass, 1e-300)[:, None] / scale
-        out = np.empty((len(counts) + 1, k))
-        out[:-1] = base[:-1] * rare[kinds]
-        out[:-1][~seen] = (share + PRIOR * self.unigram(np.zeros(1))) / scale
-        out[:-1][frequent] = (expected + share + PRIOR * base[:-1][frequent]) / scale
-        out[-1] = (self.end + (share if self.ends else 0) + PRIOR * base[-1]) / scale
-        return out
+        return (np.r_[expected, [self.end]] + share + PRIOR * base) / scale
 
 
 def _split(texts: list[str]):
@@ -74,22 +69,42 @@ def _split(texts: list[str]):
         yield t.encode().lower().split()  # bytes: A-Z and the ASCII blanks only
 
 
-def _count(part: int, words: list, least: int):
-    """For each word its training count, its class and, if it is seen so often, its number in the part."""
+def _added_up(parts: list) -> dict[bytes, int]:
     total: dict[bytes, int] = {}
-    for own, counts in words:
-        for w, c in zip(own, counts.tolist(), strict=True):
+    for words, counts in parts:
+        for w, c in zip(words, counts, strict=True):
             total[w] = total.get(w, 0) + c
-    number: dict[bytes, int] = {}
-    for w, c in total.items():
-        if c >= least:
-            number[w] = len(number)
-    mass = [0.0] * CLASSES
-    for w, c in total.items():
-        if 0 < c < least:
-            mass[zlib.crc32(w[-2:]) % CLASSES] += c + 1
-    blobs = [pack(np.array([total[w] for w in own], np.int64), np.array([zlib.crc32(w[-2:]) % CLASSES for w in own], np.uint8), np.array([number.get(w, RARE) for w in own], np.uint32)) for own, _ in words]
-    return blobs, {"tokens": sum(total.values()), "seen": sum(c > 0 for c in total.values()), "mass": mass}
+    return total
+
+
+def _counting() -> Exchange:
+    """For each word its training count and its number in the part."""
+
+    def answer(state: dict, own: list) -> list[bytes]:
+        number = {w: n for n, w in enumerate(state)}
+        return [pack(np.fromiter(map(state.__getitem__, words), np.int64, len(words)), np.fromiter(map(number.__getitem__, words), np.uint32, len(words))) for words, _ in own]
+
+    def dump(state: dict) -> bytes:
+        return pack(np.fromiter(map(len, state), np.uint32, len(state)), np.frombuffer(b"".join(state), np.uint8), np.fromiter(state.values(), np.int64, len(state)))
+
+    return Exchange(
+        unpack_words, lambda own: _added_up([(w, c.tolist()) for w, c in own]), lambda states: _added_up([(x, x.values()) for x in states]), answer, dump,
+        lambda b: dict(zip(*(list(x) for x in unpack_words(b)), strict=True)), lambda state: {"tokens": int(sum(state.values())), "seen": sum(c > 0 for c in state.values())},
+    )
+
+
+def _summing(k: int) -> Exchange:
+    """The blocks' expectations of a part's words added up, and given to each block in its own order."""
+
+    def total(parts: list) -> np.ndarray:
+        out = np.zeros((max((int(n.max()) + 1 for n, _ in parts if len(n)), default=0), k))
+        for n, x in parts:
+            out[n] += x  # a part has a word once
+        return out
+
+    rows = lambda x: (np.arange(len(x)), x)
+    read = lambda blob: (lambda n, x: (n, x.reshape(-1, k)))(*unpack(blob))
+    return Exchange(read, total, lambda states: total([rows(x) for x in states]), lambda state, own: [pack(state[n].astype(np.float32).ravel()) for n, _ in own], lambda x: pack(x.ravel()), lambda b: unpack(b)[0].reshape(-1, k))
 
 
 def _training_texts(batches):
@@ -106,122 +121,149 @@ class _Tokens:
     """The words of a block with what is known of them; the end has the last number."""
 
     def __init__(self, b: Block, model: Model):
-        counts, kinds, numbers = (b.by_word(b.column(k)) for k in range(3))
-        self.counts, self.seen = counts, counts > 0
-        self.frequent = numbers != RARE
-        self.numbers, self.part = numbers, b.part
-        expected = np.zeros((0, len(model.start)))
+        self.counts, self.numbers = (b.by_word(b.column(k)) for k in range(2))
+        self.seen, self.part = self.counts > 0, b.part
+        self.at = b.order[self.seen[b.order]]  # the words of training, by part
+        expected = np.zeros((len(self.counts), len(model.start)))
         if 1 in b.blobs:
-            rows = np.zeros((len(counts), len(model.start)))
-            at = b.order[(numbers != RARE)[b.order]]
-            rows[at] = b.column(0, 1).reshape(-1, len(model.start))
-            expected = rows[self.frequent]
-        salt = (b.part.astype(np.uint64) << np.uint64(32)) | np.where(self.frequent, numbers, kinds).astype(np.uint64)
-        self.kinds = kinds
-        self.emit = model.emissions(counts, self.seen, kinds, expected, self.frequent, salt)
-
-
-def _stretches(b: Block, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, first, last) of the training texts' stretches, padded with end + 1; first: it begins a text."""
-    rows, first = [], []
-    for doc, to, n in zip(b.ids.to_pylist(), b.ends.tolist(), b.lengths.tolist(), strict=True):
-        if not is_held(doc):
-            tokens = np.r_[b.words[to - n : to], end].astype(np.int64)
-            for a in range(0, len(tokens), STRETCH):
-                rows.append(tokens[a : a + STRETCH])
-                first.append(a == 0)
-    out = np.full((len(rows), STRETCH), end + 1)
-    for r, t in zip(out, rows, strict=True):
-        r[: len(t)] = t
-    return out, np.array(first, bool), np.array([len(t) for t in rows], np.int64)
+            expected[self.at] = b.column(0, 1).reshape(-1, len(model.start))
+        self.emit = model.emissions(self.counts, expected, (b.part.astype(np.uint64) << np.uint64(32)) | self.numbers.astype(np.uint64))
 
 
-def _expect(b: Block, model: Model) -> pa.Table:
-    """Baum-Welch counts of one block: for each part those of its frequent words, and one row with all others."""
-    k, t = len(model.start), _Tokens(b, model)
-    emit = np.r_[t.emit, np.ones((1, k))]
-    end = len(t.emit) - 1
-    words, first, length = _stretches(b, end)
-    by_word, start, moves = np.zeros((end + 2, k)), np.zeros(k), np.zeros((k, k))
-    order = np.argsort(-length, kind="stable")
-    for i in range(0, len(order), TOGETHER):
-        own = order[i : i + TOGETHER]
-        n = int(length[own].max())
-        w = np.ascontiguousarray(words[own, :n].T)
-        real = np.arange(n)[:, None] < length[own]
-        e = emit[w]
-        a, scale = np.empty_like(e), np.empty((n, len(own)))
-        x = np.where(first[own][:, None], model.start, 1 / k) * e[0]
-        for s in range(n):
-            if s:
-                x = (a[s - 1] @ model.moves) * e[s]
-            scale[s] = x.sum(1)
-            a[s] = x / scale[s][:, None]
-        beta = np.ones((len(own), k))
-        for s in range(n - 1, -1, -1):
-            g = a[s] * beta * real[s][:, None]
-            if s:
-                next_beta = e[s] * beta / scale[s][:, None]
-                moves += (a[s - 1] * real[s][:, None]).T @ next_beta * model.moves
-                beta = np.where(real[s][:, None], next_beta @ model.moves.T, 1.0)
-            else:
-                start += g[first[own]].sum(0)
-            e[s] = g  # what was emitted isn't needed any more
-        flat = w.ravel()
-        for q in range(k):
-            by_word[:, q] += np.bincount(flat, e[:, :, q].ravel(), end + 2)
-    classes = np.zeros((CLASSES, k))
-    rare = t.seen & ~t.frequent
-    np.add.at(classes, t.kinds[rare], by_word[:-2][rare])
-    at = b.order[t.frequent[b.order]]
-    bounds = np.searchsorted(t.part[at], np.arange(int(t.part.max()) + 2)) if len(at) else []
-    parts, blobs = [], []
-    for p in range(len(bounds) - 1):
-        mine = at[bounds[p] : bounds[p + 1]]
-        if len(mine):
-            parts.append(p)
-            blobs.append(pack(t.numbers[mine], by_word[mine].astype(np.float32).ravel()))
-    other = np.concatenate([start, moves.ravel(), by_word[:-1].sum(0), by_word[-2], classes.ravel()])
-    return pa.table({"part": pa.array([*parts, -1], pa.int32()), "values": pa.array([*blobs, None], pa.binary()), "block": pa.array([b.number] * (len(parts) + 1), pa.int64()), "other": pa.array([None] * len(parts) + [list(other)], pa.list_(pa.float64()))})
+class Sequences:
+    """Sequences of tokens, cut into stretches; for each stretch the state before it and the chances after it.
+
+    lengths: of the sequences, which stand one after the other in tokens. emit: a row for each token's number. pre: the chances of the
+    states at a stretch's first token, given all before; before: at the last token of the stretch before; after: the chance of all that
+    follows by the state at the stretch's last token, up to a factor.
+    """
 
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, emit: np.ndarray, model: Model, kind=np.float32):
+        self.tokens, self.model, self.kind, k = tokens, model, kind, len(model.start)
+        self.emit, self.moves = np.r_[emit, np.ones((1, k))].astype(kind), model.moves.astype(kind)
+        n = -(-lengths // STRETCH)
+        self.text = np.repeat(np.arange(len(lengths)), n)
+        self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
+        self.begin = np.repeat(np.cumsum(lengths) - lengths, n) + self.place * STRETCH
+        self.length = np.minimum(np.repeat(lengths, n) - self.place * STRETCH, STRETCH)
+        self.pre = np.tile(model.start.astype(kind), (len(self.text), 1))
+        self.before, self.after = np.zeros((len(self.text), k), kind), np.ones((len(self.text), k), kind)
+        self._carry(np.flatnonzero(np.repeat(n, n) > 1))
+
+    def _carry(self, long: np.ndarray) -> None:
+        """before, pre and after of the stretches of the sequences that have several."""
+        if not len(long):
+            return
+        k = len(self.model.start)
+        over = np.empty((len(long), k, k), self.kind)
+        for own, w, _ in self._chunks(long):
+            e = self.emit[w]
+            e /= e.max(2, keepdims=True)
+            m = np.eye(k, dtype=self.kind) * e[0][:, None, :]
+            for s in range(1, len(w)):
+                m = (m.reshape(-1, k) @ self.moves).reshape(-1, k, k) * e[s][:, None, :]
+                if s % 8 == 0:
+                    m /= m.max((1, 2), keepdims=True)
+            over[np.searchsorted(long, own)] = m / m.max((1, 2), keepdims=True)
+        place, ends = self.place[long], np.flatnonzero(np.r_[self.text[long][1:] != self.text[long][:-1], True])
+        left = ends[np.searchsorted(ends, np.arange(len(long)))] - np.arange(len(long))
+        for p in range(1, int(place.max()) + 1):
+            at = np.flatnonzero(place == p)
+            x = (self.pre[long[at - 1]][:, None, :] @ over[at - 1])[:, 0]
+            self.before[long[at]] = x / x.sum(1, keepdims=True)
+            self.pre[long[at]] = self.before[long[at]] @ self.moves
+            at = np.flatnonzero(left == p)
+            x = (over[at + 1] @ self.after[long[at + 1]][:, :, None])[:, :, 0] @ self.moves.T
+            self.after[long[at]] = x / x.max(1, keepdims=True)
+
+    def _chunks(self, some: np.ndarray):
+        """(stretches, tokens, real) with a row for each place; places after a stretch's end have a token that every state emits."""
+        order = some[np.argsort(-self.length[some], kind="stable")]
+        at = 0
+        while at < len(order):
+            n = int(self.length[order[at]])
+            own = order[at : at + max(1, AT_ONCE // n)]
+            real = np.arange(n)[:, None] < self.length[own]
+            yield own, np.where(real, self.tokens[np.minimum(self.begin[own] + np.arange(n)[:, None], len(self.tokens) - 1)], len(self.emit) - 1), real
+            at += len(own)
+
+    def scores(self, texts: int) -> np.ndarray:
+        """The log10 probability of each text, by the scaled forward recursion."""
+        out = np.zeros(texts)
+        for own, w, real in self._chunks(np.arange(len(self.text))):
+            x, log = self.pre[own], np.zeros(len(own))
+            for s in range(len(w)):
+                x = (x if s == 0 else x @ self.moves) * self.emit[w[s]]
+                total = x.sum(1)
+                log += np.log10(total) * real[s]
+                x /= total[:, None]
+            np.add.at(out, self.text[own], log)
+        return out
 
-def _spread(t: pa.Table, k: int) -> pa.Table:
-    """The blocks' counts of a part's frequent words added up, and given to each block in its own order."""
-    own = [unpack_counts(v, k) for v in t["values"].to_pylist()]
-    total = np.zeros((max(int(n.max()) for n, _ in own) + 1, k))
-    for n, x in own:
-        total[n] += x
-    return pa.table({"block": t["block"], "part": t["part"], "values": pa.array([pack(total[n].astype(np.float32).ravel()) for n, _ in own], pa.binary())})
+    def expect(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expectations by token number and state, of first states and of transitions, and the natural log of the likelihood."""
+        k = len(self.model.start)
+        by_word, start, moves, log = np.zeros((len(self.emit), k)), np.zeros(k), np.zeros((k, k)), 0.0
+        for own, w, real in self._chunks(np.arange(len(self.text))):
+            n, first = len(w), self.place[own] == 0
+            e = self.emit[w]
+            a, scale = np.empty_like(e), np.empty((n, len(own)), self.kind)
+            x = self.pre[own]
+            for s in range(n):
+                x = (x if s == 0 else a[s - 1] @ self.moves) * e[s]
+                scale[s] = x.sum(1)
+                a[s] = x / scale[s][:, None]
+            log += float(np.log(scale, where=real, out=np.zeros(scale.shape)).sum())
+            beta = self.after[own] / (a[n - 1] * self.after[own]).sum(1, keepdims=True)
+            for s in range(n - 1, -1, -1):
+                g = a[s] * beta
+                follows = e[s] * beta / scale[s][:, None]
+                e[s] = g / g.sum(1, keepdims=True)  # what was emitted isn't needed any more
+                if s:
+                    moves += (a[s - 1] * real[s][:, None]).T @ follows
+                    beta = follows @ self.moves.T
+                else:
+                    start += e[0][first].sum(0)
+                    moves += self.before[own][~first].T @ follows[~first]
+            flat = w.ravel()
+            for q in range(k):
+                by_word[:, q] += np.bincount(flat, e[:, :, q].ravel(), len(self.emit))
+        return by_word[:-1], start, moves * self.model.moves, log
+
+
+def _with_ends(b: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the texts, each with its end, and their numbers."""
+    return np.insert(b.words.astype(np.int64), b.ends, end), b.lengths.astype(np.int64) + 1
 
 
-def unpack_counts(blob: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    numbers, x = unpack(blob)
-    return numbers, x.reshape(-1, k)
+def _expect(b: Block, model: Model) -> pa.Table:
+    """Baum-Welch counts of one block: for each part those of its words, and one row with all others."""
+    t = _Tokens(b, model)
+    end = len(t.emit) - 1
+    tokens, lengths = _with_ends(b, end)
+    own = np.array([not is_held(i) for i in b.ids.to_pylist()], bool)
+    by_word, start, moves, log = Sequences(tokens[np.repeat(own, lengths)], lengths[own], t.emit, model).expect()
+    parts, blobs = [], []
+    for x, z in spans(t.part[t.at]):
+        mine = t.at[x:z]
+        parts.append(int(t.part[mine[0]]))
+        blobs.append(pack(t.numbers[mine], by_word[mine].astype(np.float32).ravel()))
+    other = np.concatenate([start, moves.ravel(), by_word.sum(0), by_word[end], [log]])
+    return pa.table({"part": pa.array([*parts, -1], pa.int32()), "values": pa.array([*blobs, None], pa.binary()), "block": pa.array([b.number] * (len(parts) + 1), pa.int64()), "other": pa.array([None] * len(parts) + [list(other)], pa.list_(pa.float64()))})
 
 
-def _score(b: Block, model: Model) -> pa.Table:
+def _score(b: Block, model: Model, rounds: int, likelihood: float) -> pa.Table:
     t = _Tokens(b, model)
     end, n = len(t.emit) - 1, len(b.lengths)
-    log = np.log10(model.unigram(np.r_[t.counts, model.ends]))
-    known = np.r_[t.seen, model.ends > 0]
-    sums = lambda x: np.r_[0, np.cumsum(x[b.words])]
-    of = lambda s: s[b.ends] - s[b.ends - b.lengths]
-    base = np.array([log[b.words[to - m : to]].sum() for to, m in zip(b.ends.tolist(), b.lengths.tolist(), strict=True)]) + log[end]
-    order = np.argsort(-b.lengths.astype(np.int64), kind="stable")
-    length, begin = b.lengths[order].astype(np.int64), (b.ends - b.lengths)[order]
-    words = np.r_[b.words, end].astype(np.int64)
-    out, x, active = np.zeros(n), np.tile(model.start, (n, 1)), n
-    for s in range(int(length.max()) + 1 if n else 0):  # the longest texts stand first; each ends with the end
-        active = int(np.searchsorted(-length, -s, side="right"))
-        token = np.where(length[:active] > s, words[np.minimum(begin[:active] + s, len(words) - 1)], end)
-        x = (x[:active] if s == 0 else x[:active] @ model.moves) * t.emit[token]
-        total = x.sum(1)
-        out[:active] += np.log10(total)
-        x /= total[:, None]
-    score = np.empty(n)
-    score[order] = out
-    ids = b.ids.to_pylist()
-    return pa.table({"doc_id": b.ids, "held_out": pa.array([is_held(i) for i in ids], pa.bool_()), "n_tokens": pa.array(b.lengths.astype(np.int64) + 1), "n_known": pa.array((of(sums(known.astype(np.int64))) + int(known[end])).astype(np.int64)), "train_tokens": pa.array([model.tokens] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+    tokens, lengths = _with_ends(b, end)
+    log = np.log10(model.unigram(np.r_[t.counts, model.ends]))[tokens]
+    known = np.r_[t.seen, model.ends > 0][tokens].astype(np.int64)
+    begin = np.cumsum(lengths) - lengths
+    return pa.table({
+        "doc_id": b.ids, "held_out": pa.array([is_held(i) for i in b.ids.to_pylist()], pa.bool_()), "n_tokens": pa.array(lengths), "n_known": pa.array(np.add.reduceat(known, begin)),
+        "train_tokens": pa.array([model.tokens] * n, pa.int64()), "base_score": pa.array([float(log[x : x + m].sum()) for x, m in zip(begin.tolist(), lengths.tolist(), strict=True)], pa.float64()),
+        "score": pa.array(Sequences(tokens, lengths, t.emit, model, np.float64).scores(n)), "rounds": pa.array([rounds] * n, pa.int32()), "train_score": pa.array([likelihood] * n, pa.float64()),
+    })
 
 
 def _added(df: DataFrame, column: str) -> np.ndarray:
@@ -233,36 +275,38 @@ def _added(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text).
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, rounds, train_score) for every row of docs(doc_id, text).
 
-    The model learns from all whole texts that aren't held out; scores are log10 probabilities of whole texts, by the unigram model and by
-    the hidden Markov model. Null and empty texts are the end alone; repeated rows and null ids keep their rows (and count each time); other
-    columns are ignored; an empty table gives an empty result.
+    The model learns from all whole texts that aren't held out, and all their words, in rounds of Baum-Welch until one gains less than
+    tolerance in log likelihood, or `rounds` are over. Scores are log10 probabilities of whole texts, by the unigram model and by the hidden
+    Markov model; rounds is how many there were, train_score what the training texts had before the last. Null and empty texts are the end
+    alone; repeated rows and null ids keep their rows (and count each time); other columns are ignored; an empty table gives an empty result.
     """
-    blocks = store(docs, _split, lambda i: not is_held(i))
+    blocks = store(docs, _split, lambda i: not is_held(i), BLOCK_BYTES)
     ends = blocks.select("docs").mapInArrow(_training_texts, "texts long").agg(F.sum("texts")).first()[0] or 0
-    counts = saved(look_up(blocks, lambda part, words: _count(part, words, LEAST), ", tokens long, seen long, mass array<double>"))
+    counts = saved(look_up(blocks, _counting(), "tokens seen"))
     tokens, seen = counts.agg(F.sum("tokens"), F.sum("seen")).first()
-    tokens, seen = (tokens or 0) + ends, (seen or 0) + (ends > 0)
-    mass = _added(counts, "mass")
-    mass = (mass if len(mass) else np.zeros(CLASSES)) / (tokens + seen + 1)
-    k = states
-    model = Model(tokens, seen, ends, mass, np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k))
-    expected, old = [], None
-    for _ in range(rounds):
+    k, groups = states, groups_of(blocks)
+    model = Model((tokens or 0) + ends, (seen or 0) + (ends > 0), ends, np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k))
+    expected, old, done, likelihood = [], None, 0, 0.0
+    while done < rounds:
         fixed = model
         step = saved(bring_back(blocks, [counts, *expected], lambda b, m=fixed: _expect(b, m), "part int, values binary, block long, other array<double>"))
         if old is not None:
             drop(old)
         other = _added(step, "other")
         if not len(other):
-            other = np.zeros(k + k * k + 2 * k + CLASSES * k)
-        start, moves, total, end, classes = np.split(other, np.cumsum([k, k * k, k, k]))
+            other = np.zeros(k + k * k + 2 * k + 1)
+        start, moves, total, end, log = np.split(other, np.cumsum([k, k * k, k, k]))
         moves = moves.reshape(k, k) + MOVES / k
-        model = replace(model, start=(start + 1 / k) / (start.sum() + 1), moves=moves / moves.sum(1, keepdims=True), total=total, end=end, classes=classes.reshape(CLASSES, k))
-        expected, old = [step.where("part >= 0").select("block", "part", "values").groupBy("part").applyInArrow(lambda t: _spread(t, k), "block long, part int, values binary")], step
-    return bring_back(blocks, [counts, *expected], lambda b: _score(b, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        model = replace(model, start=(start + 1 / k) / (start.sum() + 1), moves=moves / moves.sum(1, keepdims=True), total=total, end=end)
+        expected, old, done = [exchange(step.where("part >= 0").select("block", "part", "values"), "values", _summing(k), groups)], step, done + 1
+        before, likelihood = likelihood, float(log[0]) / np.log(10)
+        if done > 1 and likelihood - before < tolerance * abs(before):
+            break
+    reported = (done, likelihood)
+    return bring_back(blocks, [counts, *expected], lambda b: _score(b, model, *reported), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, rounds int, train_score double")
 
 
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

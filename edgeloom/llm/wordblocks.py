@@ -53,14 +53,19 @@ def _cut(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
+def spans(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cut = [*np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)]).tolist(), len(x)]
+    return list(zip(cut, cut[1:], strict=False))
+
+
 def _block(number: int, ids: list, positions: list[np.ndarray], numbers: dict, parts: int, counted: Callable | None) -> tuple:
     words = list(numbers)
     own = [p for i, p in zip(ids, positions, strict=True) if counted and counted(i)]
     counts = np.bincount(np.concatenate(own), minlength=len(words)) if own else np.zeros(len(words), np.int64)
     part = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(parts)
     order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0][: len(words)]).tolist()
-    blobs = [{"part": int(part[order[a]]), "words": pack_words([words[k] for k in order[a:b].tolist()], counts[order[a:b]])} for a, b in zip(cut, [*cut[1:], len(words)], strict=True)]
+    blobs = [{"part": int(part[order[a]]), "words": pack_words([words[k] for k in order[a:b].tolist()], counts[order[a:b]])} for a, b in spans(part[order])]
     null = np.array([x is None for x in ids], np.uint8)
     docs = pack(np.array([x or 0 for x in ids], np.int64), null, np.fromiter(map(len, positions), np.uint32, len(positions)), np.concatenate(positions), part)
     return number, docs, blobs
@@ -109,7 +114,7 @@ class Exchange:
 
     read: a blob as the other steps take it. add: a state from the blobs of a group. merge: the state of the part from those of its groups,
     with the answers. answer: for each blob one of values, in the order of its words. dump, load: a state as bytes. extra: of the state of
-    a part, the values of further columns, which stand in one row of the part and are null in the others.
+    a part, the values of further columns of longs, which stand in one row of the part and are null in the others.
     """
 
     read: Callable
@@ -122,13 +127,13 @@ class Exchange:
 
 
 def exchange(pieces: DataFrame, column: str, x: Exchange, groups: int, more: str = "") -> DataFrame:
-    """(block, part, values, ...) for pieces(block, part, column)."""
-    names = [f.split()[0] for f in more.split(", ") if f]
-    schema = f"block long, part int, values binary{', ' * bool(more)}{more}"
+    """(block, part, values, ...) for pieces(block, part, column). more: names of the extra columns."""
+    names = more.split()
+    schema = ", ".join(["block long, part int, values binary", *(f"{c} long" for c in names)])
 
     def table(blocks: pa.ChunkedArray, part: pa.ChunkedArray, values: list, extra: dict | None) -> pa.Table:
         n = len(values)
-        return pa.table({"block": blocks, "part": part.cast(pa.int32()), "values": pa.array(values, pa.binary())} | {c: pa.array([(extra or {}).get(c)] + [None] * (n - 1)) if extra else pa.array([None] * n) for c in names})
+        return pa.table({"block": blocks, "part": part.cast(pa.int32()), "values": pa.array(values, pa.binary())} | {c: pa.array([(extra or {}).get(c)] + [None] * (n - 1), pa.int64()) for c in names})
 
     def blobs(t: pa.Table) -> list:
         return [x.read(b) for b in t[column].to_pylist()]

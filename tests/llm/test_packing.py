@@ -53,6 +53,11 @@ def test_empty_table(empty):
     assert pack_documents(empty).collect() == []
 
 
+def test_only_empty_texts(spark):
+    got = pack_documents(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == [(1, 1), (2, 1)]
+
+
 def valid(b):
     fill = np.bincount(b.of, b.sizes, len(b.room))
     assert (b.of >= 0).all()
