@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop, saved
+from ..storage import drop, forget, saved  # noqa: F401
 
 #: Whole texts of about so many bytes are held by one Python task at a time.
 GROUP_BYTES = 16 << 20
@@ -31,6 +31,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
+def column(docs: DataFrame, name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

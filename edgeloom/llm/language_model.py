@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop, mix, pack, saved, table, unpack
+from .base import drop, forget, mix, pack, saved, table, unpack
 from .wordblocks import Block, Exchange, bring_back, exchange, groups_of, look_up, spans, store, unpack_words
 
 #: Rounds of Baum-Welch, at most; they stop when the log likelihood gains less than this share of itself.
-STATES, ROUNDS, TOLERANCE = 8, 3, 0.001
+STATES, ROUNDS, TOLERANCE = 4, 3, 0.001
 #: Weight of the unigram model in each state's emissions, and of a uniform one in its transitions.
 PRIOR, MOVES = 5.0, 1.0
 #: Tokens of a stretch, and of the stretches that are worked on side by side.
@@ -93,8 +93,22 @@ def _counting() -> Exchange:
     )
 
 
+def _shares(x: np.ndarray) -> np.ndarray:
+    """What is exchanged of expectations by word and state: the states' shares in 16 bits, as the words' counts are known on either side."""
+    return (x / np.maximum(x.sum(1, keepdims=True), 1e-300)).astype(np.float16).ravel()
+
+
+def _from_shares(shares: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    x = shares.reshape(-1, k).astype(float)
+    return x * (counts / np.maximum(x.sum(1), 1e-300))[:, None]
+
+
 def _summing(k: int) -> Exchange:
-    """The blocks' expectations of a part's words added up, and given to each block in its own order."""
+    """The blocks' expectations of a part's words added up, and given to each block in its own order, as shares."""
+
+    def read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        number, counts, shares = unpack(blob)
+        return number, _from_shares(shares, counts, k)
 
     def total(parts: list) -> np.ndarray:
         out = np.zeros((max((int(n.max()) + 1 for n, _ in parts if len(n)), default=0), k))
@@ -103,8 +117,7 @@ def _summing(k: int) -> Exchange:
         return out
 
     rows = lambda x: (np.arange(len(x)), x)
-    read = lambda blob: (lambda n, x: (n, x.reshape(-1, k)))(*unpack(blob))
-    return Exchange(read, total, lambda states: total([rows(x) for x in states]), lambda state, own: [pack(state[n].astype(np.float32).ravel()) for n, _ in own], lambda x: pack(x.ravel()), lambda b: unpack(b)[0].reshape(-1, k))
+    return Exchange(read, total, lambda states: total([rows(x) for x in states]), lambda state, own: [pack(_shares(state[n])) for n, _ in own], lambda x: pack(x.ravel()), lambda b: unpack(b)[0].reshape(-1, k))
 
 
 def _training_texts(batches):
@@ -126,7 +139,7 @@ class _Tokens:
         self.at = b.order[self.seen[b.order]]  # the words of training, by part
         expected = np.zeros((len(self.counts), len(model.start)))
         if 1 in b.blobs:
-            expected[self.at] = b.column(0, 1).reshape(-1, len(model.start))
+            expected[self.at] = _from_shares(b.column(0, 1), self.counts[self.at], len(model.start))
         self.emit = model.emissions(self.counts, expected, (b.part.astype(np.uint64) << np.uint64(32)) | self.numbers.astype(np.uint64))
 
 
@@ -247,7 +260,7 @@ def _expect(b: Block, model: Model) -> pa.Table:
     for x, z in spans(t.part[t.at]):
         mine = t.at[x:z]
         parts.append(int(t.part[mine[0]]))
-        blobs.append(pack(t.numbers[mine], by_word[mine].astype(np.float32).ravel()))
+        blobs.append(pack(t.numbers[mine], np.rint(by_word[mine].sum(1)).astype(np.uint32), _shares(by_word[mine])))
     other = np.concatenate([start, moves.ravel(), by_word.sum(0), by_word[end], [log]])
     return pa.table({"part": pa.array([*parts, -1], pa.int32()), "values": pa.array([*blobs, None], pa.binary()), "block": pa.array([b.number] * (len(parts) + 1), pa.int64()), "other": pa.array([None] * len(parts) + [list(other)], pa.list_(pa.float64()))})
 
@@ -295,6 +308,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance
         step = saved(bring_back(blocks, [counts, *expected], lambda b, m=fixed: _expect(b, m), "part int, values binary, block long, other array<double>"))
         if old is not None:
             drop(old)
+        expected = []
+        forget(blocks.sparkSession)
         other = _added(step, "other")
         if not len(other):
             other = np.zeros(k + k * k + 2 * k + 1)

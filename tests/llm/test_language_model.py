@@ -152,7 +152,7 @@ def test_equals_brute_force(spark, monkeypatch, group):
     got = {r.doc_id: r for r in score(docs, states=3, rounds=3, tolerance=-1).collect()}
     want = brute_hmm(rows, 3, 3, numbers)
     assert blocks.count() > 5
-    assert np.allclose([got[i].score for i, _ in rows], want, rtol=1e-5)
+    assert np.allclose([got[i].score for i, _ in rows], want, rtol=1e-3)  # shares are exchanged in 16 bits
     assert {r.rounds for r in got.values()} == {3}
 
 
