@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import id_and_text, table
 
-#: Words whose counts one Python worker keeps; it starts afresh when full.
+#: Parts whose counts one Python worker keeps; it starts afresh when full.
 CACHE_WORDS = 400_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
+_PARTS = re.compile(f"{SPACE}+[^{SPACE}]*").findall
 _counters: dict = {}
 
 
@@ -29,7 +31,7 @@ def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """word -> number of pieces; a missing word is segmented.
+    """part of a text -> number of pieces; a missing one is segmented.
 
     Ties as in the public unigram tokenizers: pieces that end at a place are tried from the longest, and a later one must score more. A
     character that is no piece costs the lowest score less ten and counts as many pieces as it has UTF-8 bytes (byte fallback).
@@ -43,6 +45,7 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.crossing = any(SPACE in p.lstrip(SPACE) for p, _ in pieces)
 
     def __missing__(self, word: str) -> int:
         ends: list = [()] * (len(word) + 1)
@@ -65,18 +68,24 @@ class Counter(dict):
         return count[-1]
 
     def text(self, text: str) -> int:
-        """Spaces begin words, as the space symbol does; the first word has one too."""
-        marked = text.replace(" ", SPACE)
-        if not marked:
+        """Spaces are space symbols, and the text begins with one. It is cut before each run of them, where no piece can cross, so the best
+        segmentation is made of those of the parts; a vocabulary with pieces that could cross takes texts uncut."""
+        whole = text.replace(" ", SPACE)
+        if not whole:
             return 0
-        return sum(map(self.__getitem__, [SPACE + w for w in marked.removeprefix(SPACE).split(SPACE)]))
+        whole = whole if whole[0] == SPACE else SPACE + whole
+        if self.crossing:
+            return self[whole]
+        if SPACE + SPACE in whole:
+            return sum(map(self.__getitem__, _PARTS(whole)))
+        return sum(map(self.__getitem__, [SPACE + w for w in whole[1:].split(SPACE)]))
 
 
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
     """(doc_id, n_tokens) for every row of docs(doc_id, text), one pass without a shuffle.
 
     pieces: (piece, score) in the vocabulary's order, by default vocabulary(). Null and empty texts have no tokens; repeated rows and null
-    or repeated ids keep their rows; long texts are segmented whole, word by word; other columns are ignored.
+    or repeated ids keep their rows; long texts are segmented whole; other columns are ignored.
     """
     own = tuple(vocabulary() if pieces is None else pieces)
     key = hash(own)

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -13,7 +14,7 @@ BYTES = [(f"<0x{i:02X}>", 0.0) for i in range(256)]
 
 def reference(pieces):
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *BYTES, *pieces], unk_id=0, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     return t
 
 
@@ -24,6 +25,15 @@ def test_as_the_tokenizers_library(docs, rows, pieces):
     assert Counter((r.doc_id, r.n_tokens) for r in count_tokens(docs, pieces).collect()) == want
 
 
+@pytest.mark.parametrize("pieces", [None, [("▁", -1.0), ("a", -1.0), ("b", -2.0), ("a▁b", -2.5), ("▁▁", -1.5), ("b▁", -2.2), ("▁a", -2.0)]])
+def test_runs_of_spaces(spark, pieces):
+    texts = ["a    b", " " * 16 + "a", "    indented code  line", "a  ", "  ", " ", "x" + " " * 40 + "y", "a b a  b", "tab\t  after\n   line", "\u2581\u2581a"]
+    texts = texts if pieces is None else [re.sub("[^ab ]", "a", x) for x in texts]
+    t = reference(pieces or vocabulary())
+    got = dict(tuple(r) for r in count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces).collect())
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_vocabulary():
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     v = vocabulary()
