@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import NO_ID, id_map, lean, marked, mix, pack, parts_for, saved, table, text_bytes, trim, unpack
+from .base import NO_ID, column, id_map, lean, marked, mix, pack, parts_for, saved, table, text_bytes, trim, unpack
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame
     repeat a doc_id with another text come in the order of a hash of their texts, and rows that repeat both are one document, of which each
     row is returned. An empty table gives an empty result.
     """
-    others = [F.struct(*([docs[c] for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")])).alias("row")]
+    others = [F.struct(*([column(docs, c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")])).alias("row")]
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *others)
     parts = parts_for(text_bytes(given), GROUP_BYTES)
     home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("home")  # with the text, as an id may be null or repeated
@@ -334,7 +334,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     A character of which bytes are missing is dropped; n_chars, where there is such a column, counts what is left.
     """
     out = remove_repeats(docs, True).where(F.length("kept") > 0).select("doc_id", F.col("kept").cast("string").alias("text"), "row")
-    columns = [F.col("doc_id").cast(f.dataType).alias(f.name) if f.name == "doc_id" else F.col("text") if f.name == "text" else F.length("text").cast(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col(f"row.`{f.name}`") for f in docs.schema]
+    columns = [F.col("doc_id").cast(f.dataType).alias(f.name) if f.name == "doc_id" else F.col("text") if f.name == "text" else F.length("text").cast(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col("row.`" + f.name.replace("`", "``") + "`") for f in docs.schema]
     return out.select(*columns)
 
 

@@ -302,9 +302,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each group."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs that stay, with all their columns, whatever their names: one document of each group."""
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(docs["doc_id"].cast("long").alias("id"), F.struct("*").alias("row")).join(gone, "id", "left_anti").select("row.*")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

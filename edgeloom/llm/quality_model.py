@@ -16,7 +16,8 @@ from .base import lean, table
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
 BINS, ROUNDS, RATE, PAIRS, PAIR_ROUNDS, LEAVES, LEAST = 32, 150, 0.1, 6, 60, 3, 20
-FOLDS, THRESHOLD = 5, 0.3
+#: Labels are dealt over folds by a hash of the id; those of fold 0 are held out.
+FOLDS, LEARNED, THRESHOLD = 5, (1, 2, 3, 4), 0.3
 FEATURES = ("log_words", "word_length", "long_words", "short_words", "capitals", "digits", "symbols", "marks", "stops", "variety", "dup_lines", "log_lines", "top_word", "pair_variety", "line_length", "wide")
 _BLANKS, _INNER = b" \t\n\v\f\r", bytes(range(0x80, 0xC0))
 
@@ -46,9 +47,14 @@ def features(text: bytes) -> tuple[float, ...]:
     )
 
 
+def fold(doc_id: Column) -> Column:
+    """One of FOLDS numbers; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
+
+
 def held_out(doc_id: Column) -> Column:
     """Null ids are never held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+    return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
 @dataclass
@@ -167,15 +173,14 @@ def _features_of(rows: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema[int(not inside) :], T.StructField("_out", kind)]))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of labels.quality from a bounded sample of the labelled rows that aren't held out."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality"))
+def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = LEARNED) -> Model:
+    """A model of labels.quality from a bounded sample of the labelled ids in the given folds. Of the rows of one id one counts."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & fold(F.col("doc_id")).isin(*folds)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").cast("int").alias("_quality"))
     some = F.broadcast(own.orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS))  # FIT_ROWS rows at most
-    doc_id = docs["doc_id"].cast("long")
-    known = docs.join(some, doc_id == F.col("_id")).select(docs["text"].cast("string"), F.col("_id"), F.col("_quality").cast("int"))
-    rows = _features_of(known).collect()  # FIT_ROWS ids at most
-    rows.sort(key=lambda r: (r[0], r[2]))
-    return fit(np.array([r[2] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], float))
+    known = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text")).join(some, "_id").select("text", "_id", "_quality")
+    rows = _features_of(known).groupBy("_id").agg(F.min(F.struct("_out", "_quality")).alias("x")).select("x.*", "_id").collect()  # FIT_ROWS rows at most
+    rows.sort(key=lambda r: (r[2], r[0]))
+    return fit(np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -188,10 +193,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_out").alias("score"), (F.col("_out") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the model predicts to be good, with all their columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return _features_of(rows, train(docs, labels)).where(F.col("_out") >= THRESHOLD).select("_row.*")
+def filter_documents(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = LEARNED) -> DataFrame:
+    """The rows of docs that the model predicts to be good, with all their columns, whatever their names."""
+    return _features_of(docs.select(F.struct("*").alias("_row")), train(docs, labels, folds)).where(F.col("_out") >= THRESHOLD).select("_row.*")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def stats(docs: DataFrame, carry: bool = False) -> DataFrame:
                 yield pa.record_batch([own.column(0), *columns, own.column(2), *[own.column(1)] * carry], names=names)
 
     lang = F.coalesce(docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string"), F.lit("")).alias("lang")
-    text = F.struct(*[docs[c] for c in docs.columns]).alias("_row") if carry else docs["text"].cast("string").alias("text")
+    text = F.struct("*").alias("_row") if carry else docs["text"].cast("string").alias("text")
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text, lang)
     kinds = [T.StructField(x.split()[0], T.LongType()) for x in STATS.split(", ")]
     return given.mapInArrow(run, T.StructType([*kinds, given.schema["lang"], *[given.schema[1]] * carry]))
@@ -211,13 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float =
 
 
 def fit_measured(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[tuple[int, float]]]:
-    """fit() from stats(docs). All labelled rows count; only counts by stratum, half, rule and cutoff come to the driver.
-
-    delta is shared out over the strata (Bonferroni).
+    """fit() from stats(docs). All labelled ids count, each once, as trials have to be independent; only counts by stratum, half, rule and
+    cutoff come to the driver. delta is shared out over the strata (Bonferroni).
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.min("quality") == 1).alias("good"))
     half = (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("half")
-    rows = saved(measured.where(~base_failed()).join(own, F.col("doc_id") == F.col("_id")).select("lang", "good", half, *[F.expr(f"double({e})").alias(f"_{r}") for r, (e, _) in RULES.items()]))
+    labelled = measured.where(~base_failed()).join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "lang", "good", half, *[F.expr(f"double({e})").alias(f"_{r}") for r, (e, _) in RULES.items()])
+    rows = saved(labelled.groupBy("doc_id").agg(F.min(F.struct("lang", "good", "half", *[f"_{r}" for r in RULES])).alias("x")).select("x.*"))
     proposing, certifying = rows.where("half"), rows.where("not half")
     strata = ["", *sorted({r["lang"] for r in rows.select("lang").distinct().collect()} - {""})]  # a row for each language
     tries, steps = _tries(proposing), {s: [] for s in strata}
@@ -260,7 +260,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns, whatever their names."""
     return stats(docs, carry=True).where(~base_failed() & keep(fit(docs, labels))).select("_row.*")
 
 

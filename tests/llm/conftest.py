@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Names that the operators use themselves.
-CLASHING = ("id", "n_tokens", "ids", "rep", "part", "row", "_row", "kept", "block", "key", "keys", "home", "item", "score", "_out", "component", "whole", "n", "c", "values")
+CLASHING = ("id", "n_tokens", "ids", "rep", "part", "row", "_row", "kept", "block", "key", "keys", "home", "item", "score", "_out", "component", "whole", "n", "c", "values", "_id", "_quality", "_gone", "_row", "a.b", "text_", "good", "half", "odd`name", "x", "shard", "n_words")
 
 
 def prose(rng, n, words=400):

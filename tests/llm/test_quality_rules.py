@@ -101,5 +101,33 @@ def test_all_labelled_rows_count(spark):
     assert all(cutoffs.values())
 
 
+def test_kept_equals_brute_force(spark):
+    """Verdicts from the cutoffs, one document and one step at a time."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").cache(), spark.read.parquet(f"{sf}/labels.parquet")
+    cutoffs = quality_rules.fit(docs, labels)
+    assert any(cutoffs.values())
+    names = [x.split()[0] for x in quality_rules.STATS.split(", ")][1:]
+
+    def kept(text, lang):
+        m = dict(zip(names, measure((text or "").encode()), strict=True))
+        scope = {"greatest": max, "sqrt": np.sqrt, **m}
+        if failed(brute(text)):
+            return False
+        return not any(side * eval(e, scope) > side * c for rule, c in cutoffs.get(lang or "", cutoffs[""]) for e, side in [list(RULES.values())[rule]])  # noqa: S307
+
+    got = {r.doc_id: r.kept for r in judge(docs, labels).collect()}
+    assert got == {r.doc_id: kept(r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()}
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark):
+    text = "array_join(transform(sequence(1, 60), i -> concat('word', i, if(id % 4 = 0, '#$%', ''))), ' ')"
+    docs = spark.range(0, 4000, 1, 4).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "int(id % 4 > 0) AS quality")
+    few = labels.where("doc_id < 100")
+    assert any(quality_rules.fit(docs, labels).values())
+    assert not any(quality_rules.fit(docs.where("doc_id < 100").crossJoin(spark.range(40)).drop("id"), few).values())
+
+
 def test_empty_table(spark, empty):
     assert judge(empty, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
