@@ -17,8 +17,8 @@ from ..storage import drop, forget, saved  # noqa: F401
 
 #: Whole texts of about so many bytes are held by one Python task at a time.
 GROUP_BYTES = 16 << 20
-#: Bits of a map of ids. Its size is fixed; when it fills up, it lets more rows pass than need be.
-BITS, SLOTS = 1 << 23, 64
+#: Bits of a map of ids, as powers of two. When the largest fills up, it lets more rows pass than need be.
+LEAST_BITS, MOST_BITS = 15, 28
 NO_ID = -(1 << 63)
 
 
@@ -125,41 +125,43 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
-def bit_of(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+def map_bits(n: int) -> int:
+    """Bits of a map of up to n ids: eight for each, in bounds."""
+    return 1 << min(max((8 * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
-def id_map(rows: DataFrame, ids_of) -> np.ndarray:
-    """A map of BITS bits that marks every id in rows; ids_of gives the ids of a batch. Null ids are NO_ID."""
-    size = BITS // 8 // SLOTS
+def bit_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
-    def mark(batches):
-        bits = np.zeros(BITS, bool)
-        for b in batches:
-            bits[bit_of(ids_of(b))] = True
-        packed = np.packbits(bits).reshape(SLOTS, size)
-        some = np.flatnonzero(packed.any(1))
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([packed[s].tobytes() for s in some], pa.binary())], names=["slot", "bits"])
 
-    def join(t: pa.Table) -> pa.Table:
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
-        return pa.table({"slot": t["slot"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+def id_map(rows: DataFrame, ids_of, bits: int) -> np.ndarray:
+    """A map of so many bits that marks every id in rows; ids_of gives the ids of a batch. Null ids are NO_ID.
+
+    Only the places of bits are shuffled, and added up to bitmaps on either side of the shuffle.
+    """
 
-    slots = np.zeros((SLOTS, size), np.uint8)
-    for r in rows.mapInArrow(mark, "slot int, bits binary").groupBy("slot").applyInArrow(join, "slot int, bits binary").collect():  # SLOTS rows at most
-        slots[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(slots.reshape(-1)).astype(bool)
+    def places(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(np.unique(bit_of(ids_of(b), bits)) + 1)], names=["at"])
+
+    out = np.zeros(bits, bool)
+    found = rows.mapInArrow(places, "at long").groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    for r in found.collect():  # a row of 4 kB for each 32,768 bits
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
+        at = (r["part"] - 1) * len(own)
+        out[at : at + len(own)] = own[: bits - at]
+    return out
 
 
 def marked(rows: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
     """The rows, with an id as first column, that a map marks, or the others."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))  # BITS / 8 bytes
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 1 << MOST_BITS bits at most
 
     @lean
     def run(batches):
-        own = np.unpackbits(shared.value).astype(bool)
+        own = shared.value
         for b in batches:
-            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)
-            yield b.filter(pa.array(own[bit_of(ids)] == wanted, pa.bool_()))
+            at = bit_of(b.column(0).fill_null(NO_ID).to_numpy(), 8 * len(own))
+            yield b.filter(pa.array((own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) == wanted, pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

@@ -1,15 +1,17 @@
 """Suffix-array dedup by bucket-pointer refinement: bytes in strings of LENGTH that also start earlier are removed.
 
-Suffixes are put in buckets by q-grams and a bucket is refined by the bucket identifiers of later offsets: identifiers of 2q bytes are made
-of two of q bytes, the refined ones serve the next step in turn, up to LENGTH bytes. Sorting every suffix of the corpus that way would
-shuffle each byte many times over, so the refinement runs in three steps that get smaller:
+Sorting every suffix of the corpus would shuffle each byte many times over, so it is done in three steps that get smaller:
 
 1. Every string of LENGTH bytes belongs to the least GRAM-gram in it (by a hash), as equal strings do alike. Neighbouring strings of one
-   gram are one run; buckets are the grams, and within a bucket runs of equal contents.
+   gram are one run; initial buckets are the grams, and within a bucket runs of equal contents, which 128 bits identify.
 2. Of equal runs all but the first go. A bucket with several different runs can still have equal strings in them.
-3. The first runs of such buckets come with their bytes, and their strings are refined to LENGTH bytes.
+3. The first runs of such buckets come with their bytes, and their suffixes are sorted: buckets by the q-gram itself, each refined by
+   sorting its members on the bucket pointers of later offsets, the refined pointers serving the next pass, until LENGTH bytes are
+   compared. Nothing is hashed there: strings in one bucket at the end are equal byte by byte.
 
-Only runs are shuffled, as blobs: for each block of texts and each part one, in which equal runs of the block are one already.
+Only runs are shuffled, as blobs: for each block of texts one for each part that has any, in which equal runs of the block are one already.
+A repeat within a block is known to go, so it isn't sent to the part of its gram but to one by its home: a passage comes to the part of its
+gram once from each block.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import NO_ID, column, id_map, lean, marked, mix, pack, parts_for, saved, table, text_bytes, trim, unpack
+from .base import NO_ID, column, id_map, lean, map_bits, marked, mix, pack, parts_for, saved, table, trim, unpack
+from .wordblocks import spans
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -29,34 +32,64 @@ SEGMENT = 1 << 19
 #: Bytes of texts in a block, and for each part and home.
 GROUP_BYTES = 8 << 20
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _C[0])
+_BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * c) for c in _C[:2]]
+#: Bytes of the initial buckets.
+Q = 8
 
 
-def buckets(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Bucket identifiers of the q-grams at every offset, q = 1, 2, 4 ... upto: each made of two of the step before."""
-    out, q = {1: _BYTES[data]}, 1
+def gram_hashes(data: np.ndarray, upto: int, salt: int = 0) -> dict[int, np.ndarray]:
+    """Identifiers of the upto-grams and of the GRAM-grams at every offset, by doubling; salt: 0 or 1, for independent ones."""
+    h, out, q = _BYTES[salt][data], {}, 1
     while q < upto:
-        h = out[q]
-        out[2 * q] = h[:-q] * _C[q.bit_length() % 8] + h[q:]
-        if q not in (4, GRAM):
-            del out[q]
+        h = h[:-q] * _C[(q.bit_length() + 3 * salt) % 8] + h[q:]
         q *= 2
+        if q in (GRAM, upto):
+            out[q] = h
     return out
 
 
-def whole_strings(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Identifiers of the LENGTH bytes at the given offsets, refined from those of 64, 32 and 4 bytes."""
-    return mix((h[64][at] * _C[5] + h[32][at + 64]) * _C[6] + h[4][at + 96])
+def suffix_buckets(data: np.ndarray) -> np.ndarray:
+    """For every offset the pointer of its bucket of equal LENGTH bytes: the place of the bucket's first member in the sorted order.
+
+    Offsets without so many bytes are in no order. Initial buckets are by Q bytes, as numbers. A pass sorts the members of each bucket that
+    has several on the pointers of the offsets `depth` later and splits it where these differ; then pointers stand for twice the depth.
+    """
+    n = len(data) - Q + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    key = np.zeros(n, np.uint64)
+    for k in range(Q):
+        key = (key << np.uint64(8)) | data[k : k + n]
+    order = np.argsort(key, kind="stable")
+    pointer = np.empty(n, np.int64)
+    first = np.r_[True, key[order][1:] != key[order][:-1]]
+    pointer[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    depth = Q
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        several = np.bincount(pointer, minlength=n)[pointer] > 1
+        own = np.flatnonzero(several[: max(0, n - step)])
+        at, later = pointer[own], pointer[own + step]
+        sort = np.lexsort((later, at))
+        own, at, later = own[sort], at[sort], later[sort]
+        bucket = np.r_[True, at[1:] != at[:-1]][: len(own)]
+        split = bucket | np.r_[True, later[1:] != later[:-1]][: len(own)]
+        place = np.arange(len(own))
+        begin = np.maximum.accumulate(np.where(bucket, place, 0))
+        pointer[own] = at + np.maximum.accumulate(np.where(split, place, 0)) - begin
+        depth += step
+    return pointer
 
 
 def runs(segments: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(segment, first, before, count, gram, content) of the runs: count strings from first on, whose gram stands before bytes later."""
+    """(segment, first, before, count, gram, content, check) of the runs: count strings from first on, whose gram stands before bytes later;
+    content and check identify the bytes."""
     data = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     n = len(data) - LENGTH + 1
     if n < 1:
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
-    h = buckets(data, 64)
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 3
+    h = gram_hashes(data, 64)
     order = mix(h[GRAM])
     least = (order & ~np.uint64(0xFFFFFF)) | np.arange(len(order), dtype=np.uint64)
     width = 1
@@ -75,10 +108,11 @@ def runs(segments: list[bytes]) -> tuple[np.ndarray, ...]:
     a, z = cut[real], last[real]
     g = gram[a]
     name = order[g]
-    x = (h[64][a] * _C[1] + h[64][np.minimum(a + 52, z + 36)]) * _C[2] + h[64][z + 36]
-    content = mix(x ^ mix(name + ((g - a) * 128 + z - a).astype(np.uint64)))
+    extent = mix(name + ((g - a) * 128 + z - a).astype(np.uint64))
+    # the 64-grams at these three places cover a run
+    whole = lambda x: mix(((x[a] * _C[1] + x[np.minimum(a + 52, z + 36)]) * _C[2] + x[z + 36]) ^ extent)
     seg = owner[a]
-    return seg, a - (ends - sizes)[seg], g - a, z - a + 1, name, content
+    return seg, a - (ends - sizes)[seg], g - a, z - a + 1, name, whole(h[64]), whole(gram_hashes(data, 64, 1)[64])
 
 
 def _segments(text: bytes) -> list[tuple[int, bytes]]:
@@ -90,38 +124,37 @@ def _repeated(name: np.ndarray) -> np.ndarray:
     order = np.argsort(name, kind="stable")
     s = name[order]
     same = s[1:] == s[:-1]
-    return order[np.r_[same, False] | np.r_[False, same]]
+    return order[(np.r_[same, False] | np.r_[False, same])[: len(s)]]
 
 
 def text_number(text: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF
+    return xxhash.xxh3_64_intdigest(text)
 
 
 def _find(parts: int):
     """mapInArrow: from (doc_id, text, home) the runs of each block, a blob for each part."""
 
     def flush(docs: list, found: list):
-        ids, numbers, homes = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), (np.int64, np.uint32, np.uint32), strict=True))
-        doc, first, before, count, name, content = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids, numbers, homes = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), (np.int64, np.uint64, np.uint32), strict=True))
+        doc, first, before, count, name, content, check = (np.concatenate(x) for x in zip(*found, strict=True))
         rows = _repeated(content)
-        order = rows[np.lexsort((first[rows], numbers[doc[rows]], ids[doc[rows]], name[rows], content[rows]))]
+        order = rows[np.lexsort((first[rows], numbers[doc[rows]], ids[doc[rows]], check[rows], content[rows]))]
         later = np.zeros(len(doc), bool)
         if len(order):
-            new = np.r_[True, (content[order][1:] != content[order][:-1]) | (name[order][1:] != name[order][:-1])]
+            new = np.r_[True, (content[order][1:] != content[order][:-1]) | (check[order][1:] != check[order][:-1])]
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             later[order] = (ids[doc[order]] != ids[doc[lead]]) | (numbers[doc[order]] != numbers[doc[lead]]) | (first[order] != first[lead])
-        part = (name % np.uint64(parts)).astype(np.int64)
+        part = np.where(later, homes[doc].astype(np.int64), (name % np.uint64(parts)).astype(np.int64))
         sort = np.argsort(part * 2 + later, kind="stable")
-        bounds = np.searchsorted((part * 2 + later)[sort], np.arange(2 * parts + 1))
         place = lambda r: (ids[doc[r]], numbers[doc[r]], homes[doc[r]], first[r].astype(np.uint32), count[r].astype(np.uint8))
         out: tuple[list, list] = ([], [])
-        for p in range(parts):
-            fresh, known = sort[bounds[2 * p] : bounds[2 * p + 1]], sort[bounds[2 * p + 1] : bounds[2 * p + 2]]
-            if len(fresh) or len(known):
-                out[0].append(p)
-                out[1].append(pack(*place(fresh), before[fresh].astype(np.uint8), name[fresh], content[fresh], *place(known)))
+        for a, z in spans(part[sort]):
+            own = sort[a:z]
+            fresh, known = own[~later[own]], own[later[own]]
+            out[0].append(int(part[own[0]]))
+            out[1].append(pack(*place(fresh), before[fresh].astype(np.uint8), name[fresh], content[fresh], check[fresh], *place(known)))
         return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["part", "runs"])
 
     @lean
@@ -131,10 +164,10 @@ def _find(parts: int):
         waiting = 0
 
         def work():
-            seg, first, before, count, name, content = runs([s for _, _, s in wait])
+            seg, first, before, count, name, content, check = runs([s for _, _, s in wait])
             number = np.array([d for d, _, _ in wait], np.int64)
             offset = np.array([o for _, o, _ in wait], np.int64)
-            found.append((number[seg], first + offset[seg], before, count, name, content))
+            found.append((number[seg], first + offset[seg], before, count, name, content, check))
 
         for b in batches:
             for i in range(0, b.num_rows, 64):
@@ -175,12 +208,12 @@ def _sort_out(t: pa.Table) -> pa.Table:
     """Of a part's runs: the repeats, and what must be refined, by the home of the document."""
     trim()
     blobs = [unpack(x) for x in t["runs"].to_pylist()]
-    ids, numbers, homes, first, count, before, name, content, *known = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    ids, numbers, homes, first, count, before, name, content, check, *known = (np.concatenate(x) for x in zip(*blobs, strict=True))
     rows = _repeated(name)
-    order = rows[np.lexsort((first[rows], numbers[rows], ids[rows], content[rows], name[rows]))]
-    n, c = name[order], content[order]
+    order = rows[np.lexsort((first[rows], numbers[rows], ids[rows], check[rows], content[rows], name[rows]))]
+    n, c, k = name[order], content[order], check[order]
     new_name = np.r_[True, n[1:] != n[:-1]][: len(order)]
-    new = new_name | np.r_[True, c[1:] != c[:-1]][: len(order)]
+    new = new_name | np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])][: len(order)]
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
     later = (ids[order] != ids[lead]) | (numbers[order] != numbers[lead]) | (first[order] != first[lead])
     group = np.cumsum(new_name) - 1
@@ -209,7 +242,7 @@ def _per_document(ids: np.ndarray, numbers: np.ndarray):
     """(document, its rows) for each document."""
     order = np.lexsort((numbers, ids))
     if len(order):
-        cut = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(numbers[order].astype(np.int64)) != 0)])
+        cut = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (numbers[order][1:] != numbers[order][:-1])])
         for r in np.split(order, cut[1:]):
             yield (int(ids[r[0]]), int(numbers[r[0]])), r
 
@@ -244,23 +277,21 @@ def _fetch(parts: int):
 
 
 def _refine(t: pa.Table) -> pa.Table:
-    """Of the strings of a part's runs: those that also start earlier, by the home of the document."""
+    """Of the strings of a part's runs: those that also start earlier, by the home of the document. Equal strings have the same gram and part."""
     trim()
     ids, numbers, homes, first, count, name, data = (np.concatenate(x) for x in zip(*[unpack(x) for x in t["runs"].to_pylist()], strict=True))
     count = count.astype(np.int64)
     begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
     run = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    string = whole_strings(buckets(data, 64), begin[run] + step)
-    string ^= mix(name[run])
+    string = suffix_buckets(data)[begin[run] + step]
     rows = _repeated(string)
     r, at = run[rows], first[run[rows]].astype(np.int64) + step[rows]
-    order = np.lexsort((at, numbers[r], ids[r], name[r], string[rows]))
+    order = np.lexsort((at, numbers[r], ids[r], string[rows]))
     s, r, at = string[rows][order], r[order], at[order]
     if not len(s):
         return pa.table({"home": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "flags": pa.array([], pa.binary())})
-    new = np.r_[True, (s[1:] != s[:-1]) | (name[r][1:] != name[r][:-1])]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    lead = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(s)), 0))
     later = (ids[r] != ids[r[lead]]) | (numbers[r] != numbers[r[lead]]) | (at != at[lead])
     r, at = r[later], at[later]
     # neighbouring strings of a run as one
@@ -310,12 +341,13 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame
     """
     others = [F.struct(*([column(docs, c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")])).alias("row")]
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *others)
-    parts = parts_for(text_bytes(given), GROUP_BYTES)
+    size, n = given.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts, bits = parts_for(size or 0, GROUP_BYTES), map_bits(n)
     home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("home")  # with the text, as an id may be null or repeated
     found = given.select("doc_id", "text", home).mapInArrow(_find(parts), "part int, runs binary")
     flagged = "home int, kind int, flags binary"
     flags = saved(found.groupBy("part").applyInArrow(_sort_out, flagged))
-    some, open_ = (id_map(flags.where(c).select("flags"), _flagged) for c in ("true", "kind = 1"))
+    some, open_ = (id_map(flags.where(c).select("flags"), _flagged, bits) for c in ("true", "kind = 1"))
     gone = flags.where("kind = 0")
     if open_.any():
         left = marked(given.select("doc_id", "text", home), open_).groupBy("home")

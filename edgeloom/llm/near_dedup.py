@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, id_and_text, id_map, lean, marked, mix, pack, saved, table, unpack
+from .base import components, id_and_text, id_map, lean, map_bits, marked, mix, pack, saved, table, unpack
 
 WORDS, PERCENT = 5, 85
 #: A pair that shares 85 % of its union shares no band once in some 170 million times, one that shares 80 % once in some 190,000.
@@ -132,7 +132,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([own.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles", "bits"])
         _hashes.clear()
 
-    bits = id_map(wanted, lambda b: b.column(0).to_numpy())
+    bits = id_map(wanted, lambda b: b.column(0).to_numpy(), map_bits(wanted.count()))
     some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return saved(some.mapInArrow(run, "id long, shingles binary, bits array<long>"), (_parts(docs), "id"))
 

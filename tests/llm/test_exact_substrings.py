@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from edgeloom.llm import exact_substrings
+from edgeloom.llm import base, exact_substrings
 from edgeloom.llm.exact_substrings import LENGTH, clean_documents, remove_repeats, runs, text_number
 
 from .conftest import frame
@@ -53,7 +53,7 @@ def test_edges_of_strings(spark):
 def test_segments(spark, monkeypatch):
     monkeypatch.setattr(exact_substrings, "SEGMENT", 500)
     text = "".join(f"{i * i % 9973} " for i in range(2000))
-    seg, first, before, count, name, content = runs([text.encode()[i : i + 500 + LENGTH - 1] for i in range(0, len(text) - LENGTH + 1, 500)])
+    seg, first, before, count, name, content, _ = runs([text.encode()[i : i + 500 + LENGTH - 1] for i in range(0, len(text) - LENGTH + 1, 500)])
     covered = np.zeros(len(text), int)
     for s, f, n in zip(seg, first, count, strict=True):
         covered[500 * s + f : 500 * s + f + n] += 1
@@ -100,3 +100,43 @@ def test_query(spark, sf):
         want[i, n, gone, spans, hashlib.sha256(kept).hexdigest()] += k
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_substrings.op4_suffix_array_dedup(spark, sf).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("letters", [1, 2, 20])
+def test_suffix_buckets_equal_brute_force(letters):
+    """Offsets are in one bucket if and only if the next LENGTH bytes are equal."""
+    rng = np.random.default_rng(letters)
+    some = rng.integers(0, letters, 700).astype(np.uint8)
+    data = np.r_[some, rng.integers(0, letters, 150).astype(np.uint8), some[:400], some[200:500], [255] * 130, some[100:350]].astype(np.uint8)
+    got, text = exact_substrings.suffix_buckets(data), data.tobytes()
+    by_string, by_pointer = {}, {}
+    for i in range(len(data) - LENGTH + 1):
+        by_string.setdefault(text[i : i + LENGTH], set()).add(i)
+        by_pointer.setdefault(int(got[i]), set()).add(i)
+    assert sorted(map(sorted, by_string.values())) == sorted(map(sorted, by_pointer.values()))
+
+
+def test_short_data_has_no_buckets():
+    assert len(exact_substrings.suffix_buckets(np.zeros(3, np.uint8))) == 0
+    assert len(exact_substrings.suffix_buckets(np.zeros(20, np.uint8))) == 13
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 17])
+def test_id_map(spark, bits):
+    ids = [3, 5, -7, 1 << 60, None]
+    given = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    bits_set = base.id_map(given, lambda b: b.column(0).fill_null(base.NO_ID).to_numpy(), bits)
+    assert bits_set.sum() == len(ids)
+    every = spark.range(-50, 50).selectExpr("id").union(given)
+    got = [r.id for r in base.marked(every, bits_set).collect()]
+    assert set(ids) <= set(got)
+    assert len(got) < 20
+    assert len(got) + base.marked(every, bits_set, False).count() == 105
+
+
+def test_a_common_line(spark):
+    """A line that every document has, many times: one occurrence of it stays."""
+    line = "".join(chr(97 + i * 7 % 26) for i in range(150)) + "\n"
+    rows = [(i, f"{i}: " + line * 40) for i in range(60)]
+    got = answers(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)))
+    assert got == brute(rows)
