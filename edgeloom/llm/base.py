@@ -103,18 +103,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id in links(a, b): component is the smallest id that can be reached.
 
-    Alternating large-star and small-star steps over the links; each round's links are written to the shared folder.
+    Alternating large-star and small-star steps over the links; each round's links are written to the shared folder, and so is what a step
+    joins them with, so that the links of one hub can be dealt over tasks.
     """
     e = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if e.isEmpty():
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = e.union(e.select("b", "a")).toDF("n", "m")
-        low = both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo"))
-        large = both.where("m > n").join(low, "n").select(F.col("m").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("lo"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("lo").alias("b")), F.struct(F.col("b").alias("a"), F.col("lo").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        low = saved(both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo")))
+        large = saved(both.where("m > n").join(low, "n").select(F.col("m").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct())
+        least = saved(large.groupBy("a").agg(F.min("b").alias("lo")))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("lo").alias("b")), F.struct(F.col("b").alias("a"), F.col("lo").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = saved(small)
+        for old in (low, large, least):
+            drop(old)
         same = [r for r in (x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first() for x in (e, new))]
         drop(e)
         e = new

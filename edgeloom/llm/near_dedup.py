@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import components, id_and_text, id_map, lean, map_bits, marked, mix, pack, saved, table, unpack
+from .base import components, drop, id_and_text, id_map, lean, map_bits, marked, mix, pack, parts_for, saved, table, unpack
+from .wordblocks import MOST_BUCKETS, spans
 
 WORDS, PERCENT = 5, 85
 #: A pair that shares 85 % of its union shares no band once in some 170 million times, one that shares 80 % once in some 190,000.
@@ -120,7 +121,7 @@ def bitmap(shingle_set: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """(id, shingles, bits) of the documents in wanted(id), computed from their whole texts and stored in buckets by id."""
 
     @lean
@@ -134,11 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     bits = id_map(wanted, lambda b: b.column(0).to_numpy(), map_bits(wanted.count()))
     some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return saved(some.mapInArrow(run, "id long, shingles binary, bits array<long>"), (_parts(docs), "id"))
-
-
-def _parts(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(some.mapInArrow(run, "id long, shingles binary, bits array<long>"), (min(parts, MOST_BUCKETS), "id"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,11 +157,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _members(keys: DataFrame) -> DataFrame:
     """(key, id, n, w) of the buckets that hold two sets or more, from (id, n, keys). w, what an id's buckets hold together, is large for
-    sets in the middle of many like them."""
+    sets in the middle of many like them.
+
+    Here and below, what is aggregated by a key is stored before it is joined by that key: rows of one key can then be dealt over tasks.
+    """
     rows = keys.select("id", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = saved(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     own = saved(rows.join(shared, "key").select("key", "id", "n", "size"))
-    return saved(own.join(own.groupBy("id").agg(F.sum("size").alias("w")), "id").select("key", "id", "n", "w"))
+    members = saved(own.join(own.groupBy("id").agg(F.sum("size").alias("w")), "id").select("key", "id", "n", "w"))
+    drop(shared)
+    drop(own)
+    return members
 
 
 def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
@@ -182,8 +185,7 @@ def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
             own = np.repeat(b.column(0).to_numpy(), [len(a) for a in arrays])
             part = (x % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, pack(own[r], x[r])) for p in range(parts) if len(r := order[bounds[p] : bounds[p + 1]])]
+            out = [(int(part[order[a]]), pack(own[order[a:z]], x[order[a:z]])) for a, z in spans(part[order])]
             yield pa.record_batch([pa.array([p for p, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "rows"])
 
     def count(t: pa.Table) -> pa.Table:
@@ -191,7 +193,8 @@ def _shared_counts(sets: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
         _, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
         ids, k = np.unique(own[n[inverse] > 1], return_counts=True)
         home = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        out = [(h, pack(ids[home == h], k[home == h])) for h in np.unique(home).tolist()]
+        order = np.argsort(home, kind="stable")
+        out = [(int(home[order[a]]), pack(ids[order[a:z]], k[order[a:z]])) for a, z in spans(home[order])]
         return pa.table({"home": pa.array([h for h, _ in out], pa.int32()), "rows": pa.array([v for _, v in out], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
@@ -210,7 +213,7 @@ def _possible(members: DataFrame, percent: int, parts: int) -> DataFrame:
     bounds are exact and leave little more than the similar pairs. A pair comes from the smallest of its buckets only. Large buckets are
     dealt over cells of bounded size.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    size = saved(members.groupBy("key").agg(F.count("*").alias("size")))
     q = F.ceil(F.col("size") / CELL).cast("int")
     dealt = members.join(size, "key").withColumn("q", q).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("key", "id", "n", "c", "k", "bits", "keys", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
@@ -242,38 +245,39 @@ def _possible(members: DataFrame, percent: int, parts: int) -> DataFrame:
     return cells.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(2 * parts)).alias("task")).applyInArrow(run, "a long, b long")
 
 
-def _links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+def _links(members: DataFrame, docs: DataFrame, percent: int, parts: int) -> DataFrame | None:
     """Links (a, b) between representatives whose components are those of all pairs that share a bucket and are similar.
 
     First the members of a bucket are compared with its most central one, then what isn't connected to that one with the most central of
     the rest; so a group of copies costs as many comparisons as it has members. What remains are members of a bucket in different
     components. Of these, _possible() leaves out pairs that can't reach the threshold; the others are compared in full.
     """
-    sets = _sets(docs, members.select("id").distinct())
+    sets = _sets(docs, members.select("id").distinct(), parts)
     links, known = None, None
     for r in range(ROUNDS + 1):
         own = members if known is None else members.join(known, "id", "left")
         own = own.select("key", "id", "n", "w", (F.coalesce("component", "id") if known is not None else F.col("id")).alias("c"))
         if known is not None:
-            open_keys = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+            own = saved(own)
+            open_keys = saved(own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
             own = saved(own.join(open_keys, "key"))
             if own.isEmpty():
                 break
-        middle = lambda df: df.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("key", "x.*")
+        middle = lambda df: saved(df.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("key", "x.*"))
         if r < ROUNDS:
             centre = middle(own)
             for _ in range(r):
-                centre = middle(own.join(centre.select("key", "d"), "key").where("c <> d"))
+                centre = middle(saved(own.join(centre.select("key", "d"), "key").where("c <> d").drop("d")))
             pairs = own.join(centre, "key").where((F.col("c") != F.col("d")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
         else:
-            counts = _shared_counts(sets, own.select("id").distinct(), _parts(docs)).join(sets.select("id", "bits"), "id")
+            counts = _shared_counts(sets, own.select("id").distinct(), parts).join(sets.select("id", "bits"), "id")
             held = own.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
-            pairs = _possible(own.join(counts, "id").join(held, "id"), percent, _parts(docs)).toDF("id", "other")
+            pairs = _possible(saved(own.join(counts, "id").join(held, "id")), percent, parts).toDF("id", "other")
         pairs = saved(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         found = saved(_confirm(pairs, sets, percent))
         links = found if links is None else saved(links.union(found))
         if r < ROUNDS:
-            known = components(links)
+            known = saved(components(links))
     return links
 
 
@@ -286,17 +290,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of several texts, and each row is returned; long texts are read whole; other columns are ignored; an empty table gives an empty result.
     """
     described = saved(_describe(docs))
+    parts = parts_for(8 * (described.agg(F.sum("n_shingles")).first()[0] or 0))
     real = described.where("doc_id is not null and n_shingles > 0")
-    first = real.groupBy("whole").agg(F.min("doc_id").alias("rep"))
+    first = saved(real.groupBy("whole").agg(F.min("doc_id").alias("rep")))
     same = saved(real.join(first, "whole").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
     members = _members(same.where("keys is not null").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys").distinct())
-    links = _links(members, docs, percent)
+    links = _links(members, docs, percent, parts)
     odd = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # a doc_id with several texts ties the groups of copies together that they belong to
     tied = same.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("doc_id")
     ties = same.join(tied, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = ties if links is None else links.union(ties)
-    known = components(links).select(F.col("id").alias("rep"), "component")
+    known = saved(components(links).select(F.col("id").alias("rep"), "component"))
     rest = same.join(known, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return rest.union(odd).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
