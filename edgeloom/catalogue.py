@@ -11,13 +11,14 @@ from . import graphs
 from .config import PartitionConfig
 from .functions import hilbert_decode, hilbert_encode
 from .functions.hilbert import levels
-from .operators import bucket_sizes, complement, difference, external_sort, hash_masters, intersection, metrics, mirrors_per_bucket, normalize, quota_masters, replicas, set_size, shuffled, union
+from .operators import bucket_sizes, complement, difference, external_sort, hash_masters, intersection, metrics, mirrors_per_bucket, normalize, quota_masters, replicas, set_size, shuffled, smallest, union
 from .operators.graph import Graph
-from .operators.masters import master_balance
+from .operators.masters import FACTOR, MODULUS, master_balance
 from .plans import assign
 from .plans.closed import hilbert_keys
-from .sources import parse_adjacency, parse_edges, read_binary_edges, read_partition_records, write_binary_edges, write_partition_records
-from .storage import saved
+from .sources import parse_adjacency, parse_edges, partition_records, read_binary_edges, read_graph, read_partition_file, read_partition_records, write_binary_edges, write_edge_list, write_partition_file, write_partition_records
+from .storage import saved, scratch
+from .streaming import stream_partition
 
 P = 10
 CONFIG = PartitionConfig(p=P, seed=7)
@@ -140,13 +141,13 @@ _COVERAGE = "SELECT u, v, count(*) AS n FROM e GROUP BY u, v"
 _ZEROS = "SELECT CAST(0 AS BIGINT) AS unassigned, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS beyond_bounds"
 
 
-def _violations(a: DataFrame, g: Graph, slack: float, extra: int = 0) -> DataFrame:
+def _violations(a: DataFrame, g: Graph, slack: float, extra: int = 0, p: int = P) -> DataFrame:
     """Edges without a bucket, with two, with one that isn't there; buckets (but the last) beyond their capacity and the largest degree."""
     a = saved(a)
     most = g.degrees().agg(F.max("degree")).first()[0]
-    bound = CONFIG.capacity(g.n_edges, slack) + max(most, extra)
-    full = bucket_sizes(a, P).where(f"bucket < {P - 1}").agg(F.count(F.when(F.col("n_edges") > bound, 1)).alias("beyond_bounds"))
-    row = a.agg(F.countDistinct("eid").alias("d"), F.count("*").alias("n"), F.count(F.when(~F.col("bucket").between(0, P - 1), 1)).alias("outside"))
+    bound = PartitionConfig(p=p).capacity(g.n_edges, slack) + max(most, extra)
+    full = bucket_sizes(a, p).where(f"bucket < {p - 1}").agg(F.count(F.when(F.col("n_edges") > bound, 1)).alias("beyond_bounds"))
+    row = a.agg(F.countDistinct("eid").alias("d"), F.count("*").alias("n"), F.count(F.when(~F.col("bucket").between(0, p - 1), 1)).alias("outside"))
     return row.join(F.broadcast(full)).select((g.n_edges - F.col("d")).alias("unassigned"), (F.col("n") - F.col("d")).alias("twice"), "outside", "beyond_bounds")  # one row each
 
 
@@ -154,9 +155,23 @@ def _expansion(method: str, config: PartitionConfig) -> None:
     slack = 1.05 if method == "sne" else 1.0
     name = method + "_inmem" * config.inmem
     _add(f"{name}_edge_coverage", lambda g: assign(method, g, config).groupBy("u", "v").agg(F.count("*").alias("n")), _G, f"{_head(_G)} {_COVERAGE}")
-    if not config.inmem and method != "ne_frontier":
+    if not config.inmem:
         _add(f"{name}_violations", lambda g: _violations(assign(method, g, config), g, slack, config.batch(g.n_edges) if method == "sne" else 0), _G, _ZEROS)
-        _add(f"{name}_metrics", lambda g: metrics(saved(assign(method, g, config)), P, g.n_vertices, method), "order_part", None)
+        graph = "order_part" if method == "ne" else _G
+        _add(f"{name}_metrics", lambda g: _within(assign(method, g, config), g, method), graph, f"""{_head(graph)} SELECT '{method}' AS method, {P} AS p, (SELECT n FROM nv) AS num_vertices,
+          (SELECT n FROM ne) AS num_edges, true AS factor_within, true AS balance_within""")
+
+
+def _top(g: Graph) -> float:
+    """The replication factor that no partitioning exceeds: sum of min(p, degree) / V."""
+    return round(g.degrees().agg(F.sum(F.least("degree", F.lit(P))) / g.n_vertices).first()[0], 6)
+
+
+def _within(a: DataFrame, g: Graph, method: str) -> DataFrame:
+    """The metrics of a partitioning that is drawn at random, as far as they are the same for every draw: counts, and whether the replication
+    factor is in its bounds, and the balance below 2."""
+    row = metrics(saved(a), P, g.n_vertices, method)
+    return row.select("method", "p", "num_vertices", "num_edges", F.col("replication_factor").between(1.0, _top(g)).alias("factor_within"), (F.col("balance") < 2).alias("balance_within"))
 
 
 _expansion("ne", CONFIG)
@@ -165,23 +180,35 @@ _expansion("sne", PartitionConfig(p=P, seed=CONFIG.seed, inmem=True))
 _expansion("ne_frontier", CONFIG)
 
 
-def _frontier_metrics(g: Graph) -> DataFrame:
-    return metrics(saved(assign("ne_frontier", g, CONFIG)), P, g.n_vertices, "ne_frontier")
+_STREAM = PartitionConfig(p=4, seed=CONFIG.seed, sample_ratio=4)
+
 
+def _streamed(g: Graph) -> DataFrame:
+    return stream_partition(g, _STREAM)
 
-_add("ne_frontier_metrics", _frontier_metrics, _G, None)
+
+_add("sne_stream_edge_coverage", lambda g: _streamed(g).groupBy("u", "v").agg(F.count("*").alias("n")), _G, f"{_head(_G)} {_COVERAGE}")
+_add("sne_stream_violations", lambda g: _violations(_streamed(g), g, 1.05, g.n_vertices * _STREAM.sample_ratio, _STREAM.p), _G, _ZEROS)
 
 
 def _bounds(g: Graph) -> DataFrame:
     """For each method whether 1 <= replication factor <= sum of min(p, degree) / V."""
-    top = g.degrees().agg(F.sum(F.least("degree", F.lit(P))) / g.n_vertices).first()[0]
     rows = None
     for m in ("random", "dbh", "hsfc", "ne", "sne"):
-        r = metrics(saved(assign(m, g, CONFIG)), P, g.n_vertices, m).select("method", F.col("replication_factor").between(1.0, round(top, 6)).alias("within"))
+        r = metrics(saved(assign(m, g, CONFIG)), P, g.n_vertices, m).select("method", F.col("replication_factor").between(1.0, _top(g)).alias("within"))
         rows = r if rows is None else rows.union(r)
     return rows
 
 
+def replication_factors(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("part_supp", "order_part"), methods: tuple[str, ...] = ("random", "dbh", "hsfc", "ne", "sne")) -> dict[str, dict[str, float]]:
+    """graph -> method -> replication factor, p = P."""
+    out: dict[str, dict[str, float]] = {}
+    for name in names:
+        g = graph_of(spark, sf_dir, name)
+        out[name] = {m: metrics(assign(m, g, CONFIG), P, g.n_vertices, m).first()["replication_factor"] for m in methods}
+    return out
+
+
 _add("rf_bound", _bounds, "user_chain", "SELECT method, true AS within FROM (VALUES ('random'), ('dbh'), ('hsfc'), ('ne'), ('sne')) t(method)")
 
 
@@ -195,7 +222,14 @@ def _masters(g: Graph, quota: bool) -> DataFrame:
 
 for _q, _n in ((False, "master_assignment"), (True, "master_assignment_quota")):
     _add(_n, lambda g, q=_q: _masters(g, q), _G, f"{_head(_G)} SELECT vid, CAST(1 AS BIGINT) AS n_masters FROM vt")
-_add("master_balance", lambda g: master_balance(hash_masters(replicas(assign("dbh", g, CONFIG)), CONFIG.seed), P, g.n_vertices), _G, None)
+_STIR = f"(xor({{0}}, {{0}} >> 15) * {FACTOR}) % {MODULUS}"
+_OWNERS = f""",
+k AS (SELECT bucket, vid, {_STIR.format(f"(vid % {MODULUS})")} AS x FROM m),
+j AS (SELECT bucket, vid, (x + (bucket + 1) * 1000003 + {CONFIG.seed * 7919}) % {MODULUS} AS x FROM k),
+o AS (SELECT vid, arg_min(bucket, {{{{'h': {_STIR.format("x")}, 'b': bucket}}}}) AS bucket FROM j GROUP BY vid)""".replace("{{", "{").replace("}}", "}")
+_add("hash_master", lambda g: hash_masters(replicas(assign("dbh", g, CONFIG)), CONFIG.seed), _G, f"{_head(_G, 'dbh')}{_OWNERS} SELECT vid, bucket FROM o")
+_add("master_balance", lambda g: master_balance(hash_masters(replicas(assign("dbh", g, CONFIG)), CONFIG.seed), P, g.n_vertices), _G,
+     f"{_head(_G, 'dbh')}{_OWNERS} SELECT round(max(n) / (CAST((SELECT n FROM nv) AS DOUBLE) / {P}), 6) AS master_balance FROM (SELECT count(*) AS n FROM o GROUP BY bucket)")
 
 
 def _records(g: Graph) -> DataFrame:
@@ -208,6 +242,37 @@ _add("partition_file_roundtrip", _records, _G, f"{_head(_G, 'dbh')} SELECT u, v,
 _add("binary_edges_roundtrip", lambda g: read_binary_edges(write_binary_edges(g.edges, g.n_vertices)).groupBy("u", "v").agg(F.count("*").alias("n")), _G, f"{_head(_G)} {_COVERAGE}")
 
 
+def _partition_file(g: Graph, tag: int) -> DataFrame:
+    """What a file of records, written and read again, says of edges (tag 1) or vertices (tag 0)."""
+    a, path = saved(assign("dbh", g, CONFIG)), scratch(g.edges.sparkSession)
+    write_partition_file(partition_records(a, hash_masters(replicas(a), CONFIG.seed)), path)
+    back = read_partition_file(g.edges.sparkSession, path).where(F.col("tag") == tag)
+    return back.groupBy("u", "v", "bucket").agg(F.count("*").alias("n")) if tag else back.select(F.col("u").alias("vid"), "bucket")
+
+
+_add("partition_file_edges", lambda g: _partition_file(g, 1), _G, f"{_head(_G, 'dbh')} SELECT u, v, bucket, count(*) AS n FROM a GROUP BY u, v, bucket")
+_add("partition_file_vertices", lambda g: _partition_file(g, 0), _G, f"{_head(_G, 'dbh')}{_OWNERS} SELECT vid, bucket FROM o")
+_add("smallest_degree", lambda g: smallest(g.degrees().withColumnRenamed("degree", "key")), _G, f"{_head(_G)} SELECT vid, d AS key FROM dg ORDER BY d, vid LIMIT 1")
+
+
+def _text_file(spark: SparkSession, lines: DataFrame) -> str:
+    """A file of the values of lines(line_no, value), in their order."""
+    path = scratch(spark)
+    lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return path
+
+
+def _counted(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge list rewritten as a plain one, and read again."""
+    path = scratch(spark)
+    write_edge_list(graphs.raw(spark, sf_dir, "user_chain"), path)
+    return _counted(read_graph(spark, path))
+
+
 def _as_lines(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
     return graphs.raw(spark, sf_dir, "user_chain").select("line_no", F.expr(value).alias("value"))
 
@@ -216,3 +281,17 @@ QUERIES["edge_list_parse"] = lambda spark, sf_dir: parse_edges(_as_lines(spark,
 ORACLE_SQL["edge_list_parse"] = f"SELECT src, dst, count(*) AS n FROM ({graphs.raw_sql('user_chain')}) WHERE src <> dst GROUP BY src, dst"
 QUERIES["adj_list_parse"] = lambda spark, sf_dir: parse_adjacency(_as_lines(spark, sf_dir, "concat_ws(' ', src, 2, dst, src)")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 ORACLE_SQL["adj_list_parse"] = ORACLE_SQL["edge_list_parse"]
+
+
+_PLAIN = ORACLE_SQL["edge_list_parse"]
+QUERIES["edge_list_file"] = _edge_file
+ORACLE_SQL["edge_list_file"] = _PLAIN
+QUERIES["edge_list_file_ids"] = lambda spark, sf_dir: normalize(read_graph(spark, _text_file(spark, _as_lines(spark, sf_dir, "concat(src, ' ', dst)")))).vertices.select("vid", "name")
+ORACLE_SQL["edge_list_file_ids"] = f"{_head('user_chain')} SELECT vid, nm AS name FROM vt"
+QUERIES["adjacency_file"] = lambda spark, sf_dir: _counted(read_graph(spark, _text_file(spark, _as_lines(spark, sf_dir, "concat_ws('\t', src, 2, dst, src)")), "adjlist"))
+ORACLE_SQL["adjacency_file"] = _PLAIN
+QUERIES["comment_lines"] = lambda spark, sf_dir: _counted(parse_edges(_as_lines(spark, sf_dir, "concat(if(src % 3 = 0, '#', if(src % 3 = 1, '%', '')), src, ' ', dst)")))
+ORACLE_SQL["comment_lines"] = f"SELECT src, dst, count(*) AS n FROM ({graphs.raw_sql('user_chain')}) WHERE src <> dst AND src % 3 = 2 GROUP BY src, dst"
+QUERIES["lenient_names"] = lambda spark, sf_dir: _counted(parse_edges(_as_lines(spark, sf_dir, "concat(if(src % 2 = 0, 'x', if(src % 3 = 0, '-', '')), src, ' ', dst, if(dst % 2 = 0, 'y', ''))")))
+ORACLE_SQL["lenient_names"] = f"""SELECT src, dst, count(*) AS n FROM (SELECT CAST(CASE WHEN src % 2 = 0 THEN 0 WHEN src % 3 = 0 THEN (4294967296 - src) % 4294967296 ELSE src END AS BIGINT) AS src, dst
+  FROM ({graphs.raw_sql('user_chain')})) WHERE src <> dst GROUP BY src, dst"""

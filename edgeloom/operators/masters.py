@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MODULUS, FACTOR = (1 << 31) - 1, 739_982_445
+
+
+def owner_hash(vid: Column, bucket: Column, seed: int) -> Column:
+    """A number below MODULUS that both ends of a membership scramble; all products stay within 64 bits."""
+    stir = lambda x: (x.bitwiseXOR(F.shiftright(x, 15)) * FACTOR) % MODULUS
+    return stir((stir(vid % MODULUS) + (bucket + 1) * 1_000_003 + seed * 7919) % MODULUS)
+
 
 def hash_masters(members: DataFrame, seed: int) -> DataFrame:
     """(vid, bucket): the bucket whose hash with the vertex is least. Even in expectation, and one aggregation at any size."""
-    least = F.min(F.struct(F.xxhash64("vid", "bucket", F.lit(seed)).alias("h"), "bucket")).alias("x")
+    least = F.min(F.struct(owner_hash(F.col("vid"), F.col("bucket").cast("long"), seed).alias("h"), "bucket")).alias("x")
     return members.groupBy("vid").agg(least).select("vid", F.col("x.bucket").alias("bucket"))
 
 

@@ -5,6 +5,8 @@ A batch is classified with the state as it was when the batch began, so the resu
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ SLACK = 1.05
 
 
 class Streamed:
-    """State over the stream: each bucket's core, boundary and size, the open degrees, the sample, the buckets given so far."""
+    """State over the stream: each bucket's core, boundary and size, the open degrees, the sample, the buckets given last."""
 
     def __init__(self, degrees: np.ndarray, n_edges: int, config: PartitionConfig):
         self.config, self.n_edges, self.degree = config, n_edges, degrees.astype(np.int64).copy()
@@ -81,18 +83,24 @@ class Streamed:
             self.take(rest)  # the bucket just grown isn't among those tried
         self.current += 1
 
-    def drain(self, batches) -> None:
-        """What the first buckets don't take goes to the last, whatever its size."""
-        last = self.config.p - 1
-        self.give(self.sample, np.full(len(self.sample), last))
+    def last(self) -> None:
+        """What is left of the sample goes to the last bucket, whatever its size."""
+        self.give(self.sample, np.full(len(self.sample), self.config.p - 1))
         self.sample = self.sample[:0]
-        for edges in batches:
-            b = self.classify(edges)
-            self.give(edges, np.where(b < 0, last, b))
 
+    def drain(self, edges: np.ndarray) -> None:
+        """What the first buckets don't take goes to the last."""
+        b = self.classify(edges)
+        self.give(edges, np.where(b < 0, self.config.p - 1, b))
 
-def run_stream(degrees: np.ndarray, n_edges: int, batches, config: PartitionConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, buckets) for batches of rows (eid, u, v)."""
+    def decided(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The edges and buckets that were given since the last call."""
+        out, self.done = self.done, []
+        return out
+
+
+def stream(degrees: np.ndarray, n_edges: int, batches, config: PartitionConfig):
+    """(edges, buckets) as they are decided, for batches of rows (eid, u, v). Only the sample and the state by vertex are kept."""
     s, batches = Streamed(degrees, n_edges, config), iter(batches)
     ended = False
     for _ in range(config.p - 1):
@@ -102,21 +110,54 @@ def run_stream(degrees: np.ndarray, n_edges: int, batches, config: PartitionConf
                 ended = True
             else:
                 s.take(edges)
+                yield from s.decided()
         s.fill()
-    s.drain(batches)
-    if not s.done:
+        yield from s.decided()
+    s.last()
+    yield from s.decided()
+    for edges in batches:
+        s.drain(edges)
+        yield from s.decided()
+
+
+def run_stream(degrees: np.ndarray, n_edges: int, batches, config: PartitionConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, buckets) of a whole stream."""
+    done = list(stream(degrees, n_edges, batches, config))
+    if not done:
         return np.empty((0, 3), np.int64), np.empty(0, np.int64)
-    return np.concatenate([e for e, _ in s.done]), np.concatenate([b for _, b in s.done])
+    return np.concatenate([e for e, _ in done]), np.concatenate([b for _, b in done])
 
 
 def streaming_expansion(graph: Graph, config: PartitionConfig) -> DataFrame:
-    """One task reads the stream in the order of a hash of the edges; streaming/ has the same over Structured Streaming."""
-    n_vertices, n_edges, size = graph.n_vertices, graph.n_edges, config.batch(graph.n_edges)
+    """One task reads the stream in the order of a hash of the edges and passes on what is decided.
 
-    def run(t: pa.Table) -> pa.Table:
-        e = np.stack([t[c].to_numpy() for c in ("eid", "u", "v")], 1)[np.lexsort((t["eid"].to_numpy(), t["h"].to_numpy()))]
-        degrees = np.bincount(e[:, 1:].ravel(), minlength=n_vertices)
-        edges, bucket = run_stream(degrees, n_edges, (e[i : i + size] for i in range(0, len(e), size)), config)
-        return pa.table({"eid": edges[:, 0], "u": edges[:, 1], "v": edges[:, 2], "bucket": bucket.astype(np.int32)})
+    It holds a bit for each vertex, bucket, and kind of membership, the open degrees and the sample, not the edges; these come sorted in parts
+    from the shuffle, after the degrees. streaming/ has the same over Structured Streaming, with the state in tables.
+    """
+    n_vertices, n_edges, size = graph.n_vertices, graph.n_edges, config.batch(graph.n_edges)
+    degrees = graph.degrees().select(F.lit(0).alias("kind"), F.col("vid").alias("h"), F.col("vid").alias("eid"), F.col("degree").alias("u"), F.lit(0).cast("long").alias("v"))
+    edges = graph.edges.select(F.lit(1).alias("kind"), F.xxhash64("eid", F.lit(config.seed)).alias("h"), "eid", "u", "v")
+
+    def run(batches):
+        degree = np.zeros(n_vertices, np.int64)
+
+        def edges_of():
+            kept = np.empty((0, 3), np.int64)
+            for b in batches:
+                kind, rows = b.column(0).to_numpy(), np.stack([b.column(k).to_numpy() for k in (2, 3, 4)], 1)
+                degree[rows[kind == 0, 0]] = rows[kind == 0, 1]
+                kept = np.r_[kept, rows[kind == 1]]
+                whole = len(kept) // size * size
+                yield from (kept[i : i + size] for i in range(0, whole, size))
+                kept = kept[whole:]
+            if len(kept):
+                yield kept
+
+        given = edges_of()
+        first = next(given, None)  # by then all degrees have come
+        if first is None:
+            return
+        for e, bucket in stream(degree, n_edges, itertools.chain([first], given), config):
+            yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2]), pa.array(bucket.astype(np.int32))], names=["eid", "u", "v", "bucket"])
 
-    return graph.edges.withColumn("h", F.xxhash64("eid", F.lit(config.seed))).groupBy().applyInArrow(run, "eid long, u long, v long, bucket int")
+    return degrees.union(edges).orderBy("kind", "h", "eid").coalesce(1).mapInArrow(run, "eid long, u long, v long, bucket int")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..storage import saved
 
@@ -34,7 +35,10 @@ def decode_edges(data: bytes) -> tuple[int, np.ndarray]:
 
 
 def write_binary_edges(edges: DataFrame, n_vertices: int) -> DataFrame:
-    """(part, n, data): blobs of edges(eid, u, v) in the layout above, in the order of eid, as a table in the shared folder."""
+    """(first, n, data): blobs of edges(eid, u, v) in the layout above, in the order of eid, as a table in the shared folder.
+
+    The layout has no room for ids: read again, edges are numbered on from the first of their blob.
+    """
 
     def run(batches):
         for b in batches:
@@ -58,7 +62,7 @@ def read_binary_edges(blobs: DataFrame) -> DataFrame:
 
 
 def read_binary_file(spark: SparkSession, path: str) -> DataFrame:
-    """(eid, u, v) of binary edge list files, in the order of their paths."""
+    """(eid, u, v) of binary edge list files, in the order of their paths. A file is read by one task and has less than 2 GB."""
     files = spark.read.format("binaryFile").load(path).select(F.col("content").alias("data"), "path", ((F.col("length") - HEADER) / EDGE).cast("long").alias("n"))
     names = files.select("path", "n").orderBy("path").collect()  # one row a file
     starts, at = [], 0
@@ -70,15 +74,18 @@ def read_binary_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_degrees(spark: SparkSession, path: str) -> DataFrame:
-    """(vid, degree) of a headerless file of 32-bit degrees."""
+    """(vid, degree) of headerless files of 32-bit degrees, numbered on in the order of their paths. A file has less than 2 GB."""
 
     def run(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
+            for data, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 d = np.frombuffer(data, "<u4").astype(np.int64)
-                yield pa.record_batch([pa.array(np.arange(len(d))), pa.array(d)], names=["vid", "degree"])
+                yield pa.record_batch([pa.array(np.arange(first, first + len(d))), pa.array(d)], names=["vid", "degree"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "vid long, degree long")
+    files = spark.read.format("binaryFile").load(path)
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("path", (F.col("length") / 4).cast("long").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each file
+    return files.select("path", "content").join(F.broadcast(starts.select("path", "first")), "path").select("content", "first").mapInArrow(run, "vid long, degree long")
 
 
 def escape(data: bytes) -> bytes:
@@ -107,6 +114,17 @@ def write_partition_records(assignments: DataFrame, masters: DataFrame) -> DataF
     return saved(partition_records(assignments, masters))
 
 
+def write_partition_file(records: DataFrame, path: str) -> None:
+    """record() lines as files of lines; every record is escaped, so a line feed only ends one."""
+    records.select(F.expr("substring(record, 1, length(record) - 1)").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def read_partition_file(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, u, v, bucket) of files of such lines, split between lines among tasks."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return read_partition_records(lines.select(F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("record")))
+
+
 def read_partition_records(records: DataFrame) -> DataFrame:
     """(tag, u, v, bucket) of records as partition_records() makes them; v is null for vertices."""
 

@@ -1,5 +1,5 @@
 """Streaming neighbour expansion over Structured Streaming."""
 
-from .expansion import StreamPartitioner
+from .expansion import StreamPartitioner, stream_partition
 
-__all__ = ["StreamPartitioner"]
+__all__ = ["StreamPartitioner", "stream_partition"]

@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PartitionConfig
+from ..operators.graph import Graph
 from ..plans.kernel import Expansion
 from ..plans.streamed import SLACK
-from ..storage import saved
+from ..storage import drop, saved, scratch
+
+
+#: Files that a graph is streamed from, at most.
+MOST_FILES = 64
 
 
 class StreamPartitioner:
@@ -29,7 +34,7 @@ class StreamPartitioner:
         self.capacity = config.capacity(n_edges, SLACK)
         self.limit = n_edges if config.inmem else min(n_edges, n_vertices * config.sample_ratio)
         self.average, self.local_average = 2 * n_edges / n_vertices, 2 * self.limit / n_vertices
-        self.degrees, self.done, self.last = degrees, [], -1
+        self.degrees, self.done, self.last = saved(degrees.select("vid", "degree")), [], -1  # open degrees, stored anew with every batch
         self.members: DataFrame | None = None  # (vid, bucket, core)
         self.sample: DataFrame | None = None
         self.waiting, self.current, self.sizes = 0, 0, dict.fromkeys(range(config.p), 0)
@@ -52,7 +57,7 @@ class StreamPartitioner:
         out = self.done[0]
         for d in self.done[1:]:
             out = out.union(d)
-        return out
+        return out.select("eid", "u", "v", "bucket")
 
     def _classify(self, edges: DataFrame) -> DataFrame:
         """edges with a bucket, null where none takes them: both ends in a boundary, else an end in a core and the other end of few open edges."""
@@ -61,9 +66,6 @@ class StreamPartitioner:
             return edges.withColumn("bucket", F.lit(None).cast("int"))
         m = self.members.where(F.col("bucket").isin(open_buckets)).groupBy("vid").agg(F.collect_set("bucket").alias("near"), F.collect_set(F.when(F.col("core"), F.col("bucket"))).alias("core"))  # p values at most
         open_degree = self.degrees
-        for d in self.done:
-            spent = d.select(F.explode(F.array("u", "v")).alias("vid")).groupBy("vid").agg(F.count("*").alias("n"))
-            open_degree = open_degree.join(spent, "vid", "left").select("vid", (F.col("degree") - F.coalesce("n", F.lit(0))).alias("degree"))
         end = lambda k: m.join(open_degree, "vid").select(F.col("vid").alias(k), F.col("near").alias(f"n{k}"), F.col("core").alias(f"c{k}"), F.col("degree").alias(f"d{k}"))
         rest = open_degree.select(F.col("vid"), F.col("degree"))
         x = edges.join(end("u"), "u", "left").join(end("v"), "v", "left")
@@ -88,7 +90,13 @@ class StreamPartitioner:
         members = parts[0]
         for x in parts[1:]:
             members = members.union(x)
-        self.members = saved(members.groupBy("vid", "bucket").agg(F.max("core").alias("core")))
+        members = saved(members.groupBy("vid", "bucket").agg(F.max("core").alias("core")))
+        spent = placed.select(F.explode(F.array("u", "v")).alias("vid")).groupBy("vid").agg(F.count("*").alias("n"))
+        degrees = saved(self.degrees.join(spent, "vid", "left").select("vid", (F.col("degree") - F.coalesce("n", F.lit(0))).alias("degree")))
+        if self.members is not None:
+            drop(self.members)
+            drop(self.degrees)
+        self.members, self.degrees = members, degrees
         self.done.append(placed)
 
     def _fill(self) -> None:
@@ -112,3 +120,17 @@ class StreamPartitioner:
         rest, self.sample = grown.where("bucket is null").select("eid", "u", "v"), None
         self._take(rest)
         self.current += 1
+
+
+def stream_partition(graph: Graph, config: PartitionConfig) -> DataFrame:
+    """The edges of a graph as a stream of files in random order, classified batch by batch; no task holds the edges or the vertices."""
+    spark = graph.edges.sparkSession
+    source, checkpoint = scratch(spark), scratch(spark)
+    n = graph.n_edges
+    files = max(1, min(MOST_FILES, -(-n // max(1, min(n, graph.n_vertices * config.sample_ratio)))))
+    graph.edges.repartition(files, F.xxhash64("eid", F.lit(config.seed))).write.parquet(source)
+    s = StreamPartitioner(graph.degrees(), graph.n_vertices, n, config)
+    batches = spark.readStream.schema(graph.edges.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = batches.writeStream.foreachBatch(s.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.finish()

@@ -175,7 +175,8 @@ def test_bad_settings(spark, mini):
         normalize(spark.createDataFrame([(0, 1, 1)], "line_no long, src long, dst long"))
 
 
-@pytest.mark.parametrize("name", ["dbh_metrics_cust_nation", "hsfc_metrics_user_chain", "random_metrics_order_part", "parallel_edges", "hilbert_decode", "bucket_complement", "edge_list_parse", "sne_violations", "partition_file_roundtrip"])
+@pytest.mark.parametrize("name", ["dbh_metrics_cust_nation", "hsfc_metrics_user_chain", "random_metrics_order_part", "parallel_edges", "hilbert_decode", "bucket_complement", "edge_list_parse", "sne_violations", "partition_file_roundtrip", "partition_file_edges", "partition_file_vertices", "hash_master", "master_balance", "smallest_degree", "edge_list_file", "edge_list_file_ids",
+                                  "adjacency_file", "comment_lines", "lenient_names", "ne_metrics", "sne_metrics"])
 def test_queries_equal_their_sql(spark, sf, name):
     got = QUERIES[name](spark, sf).toPandas()
     c = duckdb.connect()

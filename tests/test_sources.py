@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from edgeloom.operators import hash_masters, normalize, replicas
-from edgeloom.sources import parse_adjacency, parse_edges, read_binary_edges, read_degrees, read_graph, read_partition_records, write_binary_edges, write_edge_list, write_partition_records
+from edgeloom.sources import parse_adjacency, parse_edges, partition_records, read_binary_edges, read_degrees, read_graph, read_partition_file, read_partition_records, write_binary_edges, write_edge_list, write_partition_file, write_partition_records
 from edgeloom.sources.binary import decode_edges, encode_edges, escape, read_binary_file, unescape
 
 
@@ -67,8 +67,10 @@ def test_binary_edges(spark, tmp_path):
     u, v = np.array([0, 10, 255]), np.array([1, 2, 3])
     (tmp_path / "f.binedgelist").write_bytes(encode_edges(u, v, 256))
     assert [(r.eid, r.u, r.v) for r in read_binary_file(spark, str(tmp_path / "f.binedgelist")).orderBy("eid").collect()] == [(0, 0, 1), (1, 10, 2), (2, 255, 3)]
-    (tmp_path / "f.degree").write_bytes(np.array([4, 5, 2], "<u4").tobytes())
-    assert [(r.vid, r.degree) for r in read_degrees(spark, str(tmp_path / "f.degree")).orderBy("vid").collect()] == [(0, 4), (1, 5), (2, 2)]
+    (tmp_path / "degrees").mkdir()
+    (tmp_path / "degrees" / "a").write_bytes(np.array([4, 5, 2], "<u4").tobytes())
+    (tmp_path / "degrees" / "b").write_bytes(np.array([7], "<u4").tobytes())
+    assert [(r.vid, r.degree) for r in read_degrees(spark, str(tmp_path / "degrees")).orderBy("vid").collect()] == [(0, 4), (1, 5), (2, 2), (3, 7)]
     with pytest.raises(ValueError, match="bytes"):
         decode_edges(encode_edges(u, v, 256)[:-1])
 
@@ -83,6 +85,16 @@ def test_partition_records(spark):
     assert sorted((r.u, r.bucket) for r in back if r.tag == 0) == sorted((r.vid, r.bucket) for r in m.collect())
 
 
+def test_partition_file(spark, tmp_path):
+    a = spark.createDataFrame([(i, i * 2570 % 70000, i * 13 % 4099, (10, 255, 3333, 2570)[i % 4]) for i in range(500)], "eid long, u long, v long, bucket int")
+    write_partition_file(partition_records(a, hash_masters(replicas(a), 0)), str(tmp_path / "f"))
+    back = read_partition_file(spark, str(tmp_path / "f")).collect()
+    assert sorted((r.u, r.v, r.bucket) for r in back if r.tag == 1) == sorted((r.u, r.v, r.bucket) for r in a.collect())
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "f").glob("part-*"))
+    assert raw.count(b"\n") == len(back)
+    assert raw.endswith(b"\n")
+
+
 def test_escape():
     for data in (b"\n", b"\xff", b"\xff\n\xff\x00\xff\x01", bytes(range(256))):
         assert b"\n" not in escape(data)
