@@ -328,4 +328,27 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_hidden_markov": op10_hidden_markov}
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10's result doesn't depend on the hidden states."""
+    return score(table(spark, sf_dir, "documents"), rounds=0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+QUERIES = {"op10_hidden_markov": op10_hidden_markov, "language_model_base": base_columns}
+#: The checksum goes over the digits of the id, eight bits of a digit at a time.
+ORACLE_SQL = {
+    "language_model_base": f"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS t, coalesce(text, '') AS text FROM documents),
+r(doc_id, t, i, c) AS (
+  SELECT doc_id, t, 0, CAST(4294967295 AS BIGINT) FROM d
+  UNION ALL
+  SELECT doc_id, t, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (SELECT doc_id, t, i, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(substr(t, i // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM r WHERE i < 8 * length(t))),
+h AS (SELECT doc_id, xor(c, CAST(4294967295 AS BIGINT)) % {FOLDS} = {HELD} AS held_out FROM r WHERE i = 8 * length(t)),
+w AS (SELECT d.doc_id, held_out, unnest(list_append(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '')) AS token
+      FROM d JOIN h ON d.doc_id = h.doc_id),
+n AS (SELECT token, count(*) AS c FROM w WHERE NOT held_out GROUP BY token),
+s AS (SELECT CAST(sum(c) AS BIGINT) AS tokens, count(*) AS types FROM n)
+SELECT w.doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(n.c) AS n_known, any_value(tokens) AS train_tokens,
+       round(sum(log10((coalesce(n.c, 0) + 1) / CAST(tokens + types + 1 AS DOUBLE))), 6) AS base_score
+FROM w LEFT JOIN n ON w.token = n.token CROSS JOIN s GROUP BY w.doc_id"""
+}
