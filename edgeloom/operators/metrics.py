@@ -26,10 +26,11 @@ def mirrors_per_bucket(assignments: DataFrame, p: int) -> DataFrame:
 
 
 def metrics(assignments: DataFrame, p: int, n_vertices: int, method: str) -> DataFrame:
-    """One row: V, E, total mirrors, replication factor, balance. Both distinct counts share one shuffle of (bucket, vertex)."""
-    sizes = bucket_sizes(assignments, p).agg(F.sum("n_edges").alias("num_edges"), F.max("n_edges").alias("largest"))
-    total = replicas(assignments).agg(F.count("*").alias("total_mirrors"))
-    row = sizes.join(F.broadcast(total))  # one row each
+    """One row: V, E, total mirrors, replication factor, balance. The assignments are read once and shuffled once, by bucket and vertex, after
+    partial sums; an edge is counted from both its ends."""
+    ends = assignments.select("bucket", F.explode(F.array("u", "v")).alias("vid")).groupBy("bucket", "vid").agg(F.count("*").alias("n"))
+    buckets = ends.groupBy("bucket").agg(F.sum("n").alias("ends"), F.count("*").alias("mirrors"))
+    row = buckets.agg(F.expr("coalesce(sum(ends), 0) div 2").alias("num_edges"), F.expr("max(ends) div 2").alias("largest"), F.coalesce(F.sum("mirrors"), F.lit(0)).alias("total_mirrors"))
     return row.select(
         F.lit(method).alias("method"), F.lit(p).alias("p"), F.lit(n_vertices).cast("long").alias("num_vertices"), "num_edges", "total_mirrors",
         F.round(F.col("total_mirrors") / n_vertices, 6).alias("replication_factor"), F.round(F.col("largest") / (F.col("num_edges") / p), 6).alias("balance"),
