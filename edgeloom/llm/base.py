@@ -20,6 +20,8 @@ GROUP_BYTES = 16 << 20
 #: Bits of a map of ids, as powers of two. When the largest fills up, it lets more rows pass than need be.
 LEAST_BITS, MOST_BITS = 15, 28
 NO_ID = -(1 << 63)
+#: Partitions of a shuffle, at most.
+MOST_TASKS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,11 @@ def parts_for(n_bytes: int, each: int = GROUP_BYTES, least: int = 12) -> int:
     return max(least, -(-n_bytes // each))
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows of a key in one partition, of as many as there are parts, so that what a task reads doesn't grow with the input."""
+    return df.repartition(min(parts, MOST_TASKS), *keys)
+
+
 def trim() -> None:
     """Gives freed memory of a Python worker back to the system; workers are kept for later tasks."""
     gc.collect()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import NO_ID, column, id_map, lean, map_bits, marked, mix, pack, parts_for, saved, table, trim, unpack
+from .base import NO_ID, column, dealt, id_map, lean, map_bits, marked, mix, pack, parts_for, saved, table, trim, unpack
 from .wordblocks import spans
 
 LENGTH, GRAM = 100, 32
@@ -346,16 +346,16 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame
     home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("home")  # with the text, as an id may be null or repeated
     found = given.select("doc_id", "text", home).mapInArrow(_find(parts), "part int, runs binary")
     flagged = "home int, kind int, flags binary"
-    flags = saved(found.groupBy("part").applyInArrow(_sort_out, flagged))
+    flags = saved(dealt(found, parts, "part").groupBy("part").applyInArrow(_sort_out, flagged))
     some, open_ = (id_map(flags.where(c).select("flags"), _flagged, bits) for c in ("true", "kind = 1"))
     gone = flags.where("kind = 0")
     if open_.any():
-        left = marked(given.select("doc_id", "text", home), open_).groupBy("home")
-        fetched = left.cogroup(flags.where("kind = 1").groupBy("home")).applyInArrow(_fetch(parts), "part int, runs binary")
-        gone = gone.union(fetched.groupBy("part").applyInArrow(_refine, flagged))
+        left = dealt(marked(given.select("doc_id", "text", home), open_), parts, "home").groupBy("home")
+        fetched = left.cogroup(dealt(flags.where("kind = 1"), parts, "home").groupBy("home")).applyInArrow(_fetch(parts), "part int, runs binary")
+        gone = gone.union(dealt(fetched, parts, "part").groupBy("part").applyInArrow(_refine, flagged))
     out = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), given.schema["row"]])
-    left = marked(given.select("doc_id", "text", "row", home), some).groupBy("home")
-    cleaned = left.cogroup(gone.groupBy("home")).applyInArrow(lambda a, b: _remove(a, b, whole_characters), out)
+    left = dealt(marked(given.select("doc_id", "text", "row", home), some), parts, "home").groupBy("home")
+    cleaned = left.cogroup(dealt(gone, parts, "home").groupBy("home")).applyInArrow(lambda a, b: _remove(a, b, whole_characters), out)
     same = marked(given, some, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), "row")
     return cleaned.union(same)
 
