@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import drop, forget, mix, pack, saved, table, unpack
-from .wordblocks import Block, Exchange, bring_back, exchange, groups_of, look_up, spans, store, unpack_words
+from .wordblocks import Block, Exchange, bring_back, exchange, look_up, spans, store, unpack_words
 
 #: Rounds of Baum-Welch, at most; they stop when the log likelihood gains less than this share of itself.
 STATES, ROUNDS, TOLERANCE = 4, 3, 0.001
@@ -300,7 +300,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance
     ends = blocks.select("docs").mapInArrow(_training_texts, "texts long").agg(F.sum("texts")).first()[0] or 0
     counts = saved(look_up(blocks, _counting(), "tokens seen"))
     tokens, seen = counts.agg(F.sum("tokens"), F.sum("seen")).first()
-    k, groups = states, groups_of(blocks)
+    k, n = states, blocks.count()
     model = Model((tokens or 0) + ends, (seen or 0) + (ends > 0), ends, np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k))
     expected, old, done, likelihood = [], None, 0, 0.0
     while done < rounds:
@@ -316,7 +316,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, tolerance
         start, moves, total, end, log = np.split(other, np.cumsum([k, k * k, k, k]))
         moves = moves.reshape(k, k) + MOVES / k
         model = replace(model, start=(start + 1 / k) / (start.sum() + 1), moves=moves / moves.sum(1, keepdims=True), total=total, end=end)
-        expected, old, done = [exchange(step.where("part >= 0").select("block", "part", "values"), "values", _summing(k), groups)], step, done + 1
+        expected, old, done = [exchange(step.where("part >= 0").select("block", "part", "values"), "values", _summing(k), n)], step, done + 1
         before, likelihood = likelihood, float(log[0]) / np.log(10)
         if done > 1 and likelihood - before < tolerance * abs(before):
             break

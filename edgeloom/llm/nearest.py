@@ -18,7 +18,7 @@ PROJECTIONS, CONFIDENCE = 32, 0.85
 #: Vectors of a shard and queries of a block, which bound what one task holds; points of a leaf; queries that are worked on together.
 SHARD, BLOCK, LEAF, TOGETHER = 16_384, 4096, 256, 256
 #: Vectors that the cells are fitted on, those with the smallest hashes of their ids, and cells at most; a larger cell has several shards.
-SAMPLE, CELLS = 8192, 1024
+SAMPLE, CELLS = 4096, 1024
 MOST_BUCKETS = 4096
 
 

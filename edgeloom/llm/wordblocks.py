@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, pack, parts_for, saved, text_bytes, trim, unpack
+from .base import dealt, id_and_text, pack, parts_for, saved, text_bytes, trim, unpack
 
 #: So many word positions of a block are turned into ids at a time.
 STEP = 400_000
@@ -31,6 +31,8 @@ BLOCK_BYTES = PART_BYTES = 8 << 20
 MOST_BUCKETS = 4096
 #: Blocks whose blobs of one part a task holds.
 GROUP_BLOCKS = 4096
+#: Partitions of an exchange, at least.
+LEAST_TASKS = 12
 
 
 class _Numbers(dict):
@@ -126,8 +128,12 @@ class Exchange:
     extra: Callable | None = None
 
 
-def exchange(pieces: DataFrame, column: str, x: Exchange, groups: int, more: str = "") -> DataFrame:
-    """(block, part, values, ...) for pieces(block, part, column). more: names of the extra columns."""
+def exchange(pieces: DataFrame, column: str, x: Exchange, n: int, more: str = "") -> DataFrame:
+    """(block, part, values, ...) for pieces(block, part, column) of n blocks. more: names of the extra columns.
+
+    There are about as many parts as blocks, and as many partitions, so what a task reads doesn't grow with the input.
+    """
+    groups, tasks = max(1, -(-n // GROUP_BLOCKS)), max(n, LEAST_TASKS)
     names = more.split()
     schema = ", ".join(["block long, part int, values binary", *(f"{c} long" for c in names)])
 
@@ -158,22 +164,18 @@ def exchange(pieces: DataFrame, column: str, x: Exchange, groups: int, more: str
         return out
 
     if groups == 1:
-        return pieces.groupBy("part").applyInArrow(at_once, schema)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    states = dealt.groupBy("part", "grp").applyInArrow(of_group, "part int, state binary").groupBy("part").applyInArrow(of_part, "part int, state binary")
-    some = dealt.groupBy("part").agg(F.collect_set("grp").alias("grps"), F.min("grp").alias("first"))  # as many as there are groups, at most
+        return dealt(pieces, tasks, "part").groupBy("part").applyInArrow(at_once, schema)
+    grouped = dealt(pieces.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")), tasks, "part", "grp")
+    states = grouped.groupBy("part", "grp").applyInArrow(of_group, "part int, state binary").groupBy("part").applyInArrow(of_part, "part int, state binary")
+    some = grouped.groupBy("part").agg(F.collect_set("grp").alias("grps"), F.min("grp").alias("first"))  # as many as there are groups, at most
     right = some.join(states.toDF("own", "state"), F.col("part") == F.col("own")).select(F.col("own").alias("of_part"), "state", "first", F.explode("grps").alias("of_grp"))
-    return dealt.groupBy("part", "grp").cogroup(right.groupBy("of_part", "of_grp")).applyInArrow(of_blocks, schema)
-
-
-def groups_of(blocks: DataFrame) -> int:
-    return max(1, -(-blocks.count() // GROUP_BLOCKS))
+    return grouped.groupBy("part", "grp").cogroup(dealt(right, tasks, "of_part", "of_grp").groupBy("of_part", "of_grp")).applyInArrow(of_blocks, schema)
 
 
 def look_up(blocks: DataFrame, x: Exchange, more: str = "") -> DataFrame:
     """(block, part, values, ...) for each block and part that has words of it, from the words and their counts."""
     pieces = blocks.select("block", F.inline("words"))
-    return exchange(pieces, "words", x, groups_of(blocks), more)
+    return exchange(pieces, "words", x, blocks.count(), more)
 
 
 def encoding(encode: Callable[[list[bytes]], list[bytes]]) -> Exchange:
