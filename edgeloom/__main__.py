@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("partition", parents=[common])
     p.add_argument("--method", choices=[*METHODS, *sorted(set(PARTITIONERS) - set(METHODS))], default="sne")
     p.add_argument("--p", type=int, default=10)
-    p.add_argument("--sample-ratio", type=int, default=2)
+    p.add_argument("--sample-ratio", type=int, default=2, help="edges per vertex that sne keeps; other memory is bounded by Spark's own settings, spark.executor.memory and spark.sql.shuffle.partitions")
     p.add_argument("--inmem", action="store_true")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--output")

@@ -1,4 +1,4 @@
-"""The five ways to split edges: assign(method, graph, config) gives assignments(eid, u, v, bucket)."""
+"""The ways to split edges: assign(method, graph, config) gives assignments(eid, u, v, bucket)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,14 @@ from ..config import METHODS, PartitionConfig
 from ..operators.graph import Graph
 from . import closed, expansion, frontier, streamed
 
-PARTITIONERS = {"random": closed.random, "dbh": closed.degree_based, "hsfc": closed.hilbert, "ne": expansion.neighbour_expansion, "sne": streamed.streaming_expansion, "ne_frontier": frontier.frontier_expansion}
+
+def _from_files(graph: Graph, config: PartitionConfig) -> DataFrame:
+    from ..streaming import stream_partition  # which imports from here
+
+    return stream_partition(graph, config)
+
+
+PARTITIONERS = {"random": closed.random, "dbh": closed.degree_based, "hsfc": closed.hilbert, "ne": expansion.neighbour_expansion, "sne": streamed.streaming_expansion, "sne_stream": _from_files, "ne_frontier": frontier.frontier_expansion}
 
 
 def assign(method: str, graph: Graph, config: PartitionConfig) -> DataFrame:

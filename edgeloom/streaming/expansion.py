@@ -19,7 +19,7 @@ from ..storage import drop, saved, scratch
 
 
 #: Files that a graph is streamed from, at most.
-MOST_FILES = 64
+MOST_FILES = 16
 
 
 class StreamPartitioner:
@@ -127,7 +127,7 @@ def stream_partition(graph: Graph, config: PartitionConfig) -> DataFrame:
     spark = graph.edges.sparkSession
     source, checkpoint = scratch(spark), scratch(spark)
     n = graph.n_edges
-    files = max(1, min(MOST_FILES, -(-n // max(1, min(n, graph.n_vertices * config.sample_ratio)))))
+    files = 1 if config.p == 1 else max(1, min(MOST_FILES, -(-n // max(1, min(n, graph.n_vertices * config.sample_ratio)))))
     graph.edges.repartition(files, F.xxhash64("eid", F.lit(config.seed))).write.parquet(source)
     s = StreamPartitioner(graph.degrees(), graph.n_vertices, n, config)
     batches = spark.readStream.schema(graph.edges.schema).option("maxFilesPerTrigger", 1).parquet(source)
