@@ -60,7 +60,7 @@ def suffix_buckets(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(Q):
         key = (key << np.uint64(8)) | data[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     pointer = np.empty(n, np.int64)
     first = np.r_[True, key[order][1:] != key[order][:-1]]
     pointer[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -70,7 +70,7 @@ def suffix_buckets(data: np.ndarray) -> np.ndarray:
         several = np.bincount(pointer, minlength=n)[pointer] > 1
         own = np.flatnonzero(several[: max(0, n - step)])
         at, later = pointer[own], pointer[own + step]
-        sort = np.lexsort((later, at))
+        sort = np.argsort(at * n + later)
         own, at, later = own[sort], at[sort], later[sort]
         bucket = np.r_[True, at[1:] != at[:-1]][: len(own)]
         split = bucket | np.r_[True, later[1:] != later[:-1]][: len(own)]
@@ -121,7 +121,7 @@ def _segments(text: bytes) -> list[tuple[int, bytes]]:
 
 def _repeated(name: np.ndarray) -> np.ndarray:
     """Rows whose name others have too, sorted by name."""
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     s = name[order]
     same = s[1:] == s[:-1]
     return order[(np.r_[same, False] | np.r_[False, same])[: len(s)]]
