@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
         _hashes.clear()
 
     bits = id_map(wanted, lambda b: b.column(0).to_numpy(), map_bits(wanted.count()))
-    some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    some = marked(id_and_text(docs).where("doc_id is not null"), bits).join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return saved(some.mapInArrow(run, "id long, shingles binary, bits array<long>"), (min(parts, MOST_BUCKETS), "id"))
 
 
