@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import drop, lean, saved, table
+from .base import drop, id_map, lean, map_bits, marked, saved, table
 
 #: At most this share of good documents may fall to the rules of a stratum, but for a chance of DELTA over all strata.
 ALPHA, DELTA = 0.01, 0.05
@@ -260,8 +260,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns, whatever their names."""
-    return stats(docs, carry=True).where(~base_failed() & keep(fit(docs, labels))).select("_row.*")
+    """The rows of docs that are kept, with all their columns, whatever their names. Only documents that may be labelled are measured twice."""
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("id"))
+    labelled = id_map(ids, lambda b: b.column(0).to_numpy(), map_bits(ids.count()))
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].cast("string").alias(c) for c in ("lang",) if c in docs.columns])
+    return stats(docs, carry=True).where(~base_failed() & keep(fit(marked(given, labelled), labels))).select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
