@@ -69,9 +69,9 @@ class Tokenizer:
                 words.append(own := self.split(p.lower()))
                 known.update(dict.fromkeys(own))
         order = list(known)
-        for i in range(0, len(order), 4096):
-            some = order[i : i + 4096]
-            ids = np.array(self.own.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for i in range(0, len(order), 1024):
+            some = order[i : i + 1024]
+            ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 known.update((w, self._one(w)) for w in some)
