@@ -31,8 +31,8 @@ BLOCK_BYTES = PART_BYTES = 8 << 20
 MOST_BUCKETS = 4096
 #: Blocks whose blobs of one part a task holds.
 GROUP_BLOCKS = 4096
-#: Partitions of an exchange, at least.
-LEAST_TASKS = 12
+#: Parts that a task of an exchange works on, one after the other, and tasks at least.
+TASK_PARTS, LEAST_TASKS = 4, 12
 
 
 class _Numbers(dict):
@@ -131,9 +131,9 @@ class Exchange:
 def exchange(pieces: DataFrame, column: str, x: Exchange, n: int, more: str = "") -> DataFrame:
     """(block, part, values, ...) for pieces(block, part, column) of n blocks. more: names of the extra columns.
 
-    There are about as many parts as blocks, and as many partitions, so what a task reads doesn't grow with the input.
+    There are about as many parts as blocks, and some of them to a partition, so what a task reads doesn't grow with the input.
     """
-    groups, tasks = max(1, -(-n // GROUP_BLOCKS)), max(n, LEAST_TASKS)
+    groups, tasks = max(1, -(-n // GROUP_BLOCKS)), max(-(-n // TASK_PARTS), LEAST_TASKS)
     names = more.split()
     schema = ", ".join(["block long, part int, values binary", *(f"{c} long" for c in names)])
 
