@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -60,3 +61,35 @@ def test_any_parts_and_groups(spark, docs, rows, monkeypatch, parts, group):
     assert got == want
     assert blocks[0].count() > 4
     assert blocks[0].selectExpr("max(size(words)) as n").first()["n"] <= min(parts, 2000)
+
+
+def test_decoded_by_the_same_worker(docs, empty):
+    both = [Counter(map(tuple, x.select("doc_id", "n_tokens", "ids", "data").collect())) for x in (encode(docs, decoded=True), decode(encode(docs)))]
+    assert both[0] == both[1] and both[0]
+    assert encode(empty, decoded=True).collect() == []
+
+
+def test_query_has_one_worker_a_task(spark, sf):
+    """What puts the ids together decodes them too: a second worker would hold them again, in as much memory."""
+    plan = bpe.op1_byte_bpe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("decoded", [False, True])
+def test_a_block_leaves_in_batches(docs, monkeypatch, decoded):
+    found = []
+    monkeypatch.setattr(bpe, "bring_back", lambda blocks, values, finish, schema: found.append(finish))
+    encode(docs, decoded=decoded)
+    n = 2 * bpe.OUT_ROWS + 3
+
+    class Some:
+        ids = pa.array([None, *range(1, n)], pa.int64())
+
+        def sequences(self):
+            return [np.full(i % 3, 65, "<u4").tobytes() for i in range(n)]
+
+    done = found[0](Some())
+    assert [b.num_rows for b in done.to_batches()] == [bpe.OUT_ROWS, bpe.OUT_ROWS, 3]
+    assert done["doc_id"].to_pylist() == [None, *range(1, n)]
+    assert done["n_tokens"].to_pylist() == [i % 3 for i in range(n)]
