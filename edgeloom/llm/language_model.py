@@ -1,16 +1,19 @@
 """Hidden Markov language model: Baum-Welch counts are added up over the blocks of all texts; the forward recursion scores each text.
 
 Sequences are whole texts. What depends on the place before or after is carried over the stretches into which long ones are cut for the
-arithmetic: the matrix of a stretch takes the forward vector over it, and the backward one, so all stretches are worked on side by side.
+arithmetic, so all stretches are worked on side by side: the forward vectors of many texts go over their first stretches, then over their
+second ones, and so on, the backward ones from the last. In texts of very many stretches the matrix of each stretch takes both over it.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ STATES, ROUNDS, TOLERANCE = 8, 3, 0.001
 PRIOR, MOVES = 5.0, 1.0
 #: Tokens of a stretch, and of the stretches that are worked on side by side.
 STRETCH, AT_ONCE = 512, 1 << 19
+#: A text of more stretches is carried over by their matrices, side by side; they cost as many times the work of a vector as there are states.
+MANY = 64
 #: Blocks of more text have fewer pairs of a block and a word in all, whose expectations are exchanged.
 BLOCK_BYTES = 12 << 20
 FOLDS, HELD = 7, 2
@@ -152,7 +157,8 @@ class Sequences:
     """
 
     def __init__(self, tokens: np.ndarray, lengths: np.ndarray, emit: np.ndarray, model: Model, kind=np.float32):
-        self.tokens, self.model, self.kind, k = tokens, model, kind, len(model.start)
+        self.model, self.kind, k = model, kind, len(model.start)
+        self.tokens = np.r_[tokens, np.zeros(STRETCH, np.int64)]  # so a stretch's places are there, whatever its length
         self.emit, self.moves = np.r_[emit, np.ones((1, k))].astype(kind), model.moves.astype(kind)
         n = -(-lengths // STRETCH)
         self.text = np.repeat(np.arange(len(lengths)), n)
@@ -161,33 +167,74 @@ class Sequences:
         self.length = np.minimum(np.repeat(lengths, n) - self.place * STRETCH, STRETCH)
         self.pre = np.tile(model.start.astype(kind), (len(self.text), 1))
         self.before, self.after = np.zeros((len(self.text), k), kind), np.ones((len(self.text), k), kind)
-        self._carry(np.flatnonzero(np.repeat(n, n) > 1))
+        each = np.repeat(n, n)
+        self.left = each - 1 - self.place
+        self.few, self.many = np.flatnonzero((each > 1) & (each <= MANY)), np.flatnonzero(each > MANY)
+        self.even = self.emit / self.emit.max(1, keepdims=True)  # for what is carried: a factor doesn't matter there
+        self.over = self._matrices(self.many)
+        self._carry_ahead()
+
+    def _carry_ahead(self) -> None:
+        """before and pre of the stretches that aren't the first of their sequences."""
+        for some, ahead in ((self.few, self._ahead), (self.many, self._ahead_by_matrix)):
+            for p in range(1, int(self.place[some].max(initial=0)) + 1):
+                own = some[self.place[some] == p]
+                x = ahead(own - 1)
+                self.before[own] = x / x.sum(1, keepdims=True)
+                self.pre[own] = self.before[own] @ self.moves
+
+    def _carry_back(self) -> None:
+        """after of the stretches that aren't the last of their sequences."""
+        for some, back in ((self.few, self._back), (self.many, self._back_by_matrix)):
+            for p in range(1, int(self.left[some].max(initial=0)) + 1):
+                own = some[self.left[some] == p]
+                x = back(own + 1)
+                self.after[own] = x / x.max(1, keepdims=True)
+
+    def _ahead_by_matrix(self, own: np.ndarray) -> np.ndarray:
+        return (self.pre[own][:, None, :] @ self.over[np.searchsorted(self.many, own)])[:, 0]
+
+    def _back_by_matrix(self, own: np.ndarray) -> np.ndarray:
+        return (self.over[np.searchsorted(self.many, own)] @ self.after[own][:, :, None])[:, :, 0] @ self.moves.T
+
+    def _ahead(self, some: np.ndarray) -> np.ndarray:
+        """The chances of the states at the last token of some stretches, up to a factor, from pre."""
+        out = np.empty((len(some), len(self.model.start)), self.kind)
+        for own, w, _ in self._chunks(some):
+            x = self.pre[own].T.copy()
+            for s in range(len(w)):
+                x = x if s == 0 else self.moves.T @ x
+                x *= self.even.take(w[s], 0).T
+                if s % 4 == 0:
+                    x /= x.max(0)
+            out[np.searchsorted(some, own)] = (x / x.max(0)).T
+        return out
 
-    def _carry(self, long: np.ndarray) -> None:
-        """before, pre and after of the stretches of the sequences that have several."""
-        if not len(long):
-            return
+    def _back(self, some: np.ndarray) -> np.ndarray:
+        """The chance of some stretches and all that follows by the state at the token before, up to a factor, from after."""
+        out = np.empty((len(some), len(self.model.start)), self.kind)
+        for own, w, _ in self._chunks(some):
+            x = self.after[own].T.copy()
+            for s in range(len(w) - 1, -1, -1):
+                x *= self.even.take(w[s], 0).T
+                x = self.moves @ x
+                if s % 4 == 0:
+                    x /= x.max(0)
+            out[np.searchsorted(some, own)] = x.T
+        return out
+
+    def _matrices(self, some: np.ndarray) -> np.ndarray:
+        """For each stretch the chances of the states at its last token, and of all its tokens, by the state at its first, up to a factor."""
         k = len(self.model.start)
-        over = np.empty((len(long), k, k), self.kind)
-        for own, w, _ in self._chunks(long):
-            e = self.emit[w]
-            e /= e.max(2, keepdims=True)
-            m = np.eye(k, dtype=self.kind) * e[0][:, None, :]
+        over = np.empty((len(some), k, k), self.kind)
+        for own, w, _ in self._chunks(some):
+            m = np.eye(k, dtype=self.kind) * self.even.take(w[0], 0)[:, None, :]
             for s in range(1, len(w)):
-                m = (m.reshape(-1, k) @ self.moves).reshape(-1, k, k) * e[s][:, None, :]
+                m = (m.reshape(-1, k) @ self.moves).reshape(-1, k, k) * self.even.take(w[s], 0)[:, None, :]
                 if s % 8 == 0:
                     m /= m.max((1, 2), keepdims=True)
-            over[np.searchsorted(long, own)] = m / m.max((1, 2), keepdims=True)
-        place, ends = self.place[long], np.flatnonzero(np.r_[self.text[long][1:] != self.text[long][:-1], True])
-        left = ends[np.searchsorted(ends, np.arange(len(long)))] - np.arange(len(long))
-        for p in range(1, int(place.max()) + 1):
-            at = np.flatnonzero(place == p)
-            x = (self.pre[long[at - 1]][:, None, :] @ over[at - 1])[:, 0]
-            self.before[long[at]] = x / x.sum(1, keepdims=True)
-            self.pre[long[at]] = self.before[long[at]] @ self.moves
-            at = np.flatnonzero(left == p)
-            x = (over[at + 1] @ self.after[long[at + 1]][:, :, None])[:, :, 0] @ self.moves.T
-            self.after[long[at]] = x / x.max(1, keepdims=True)
+            over[np.searchsorted(some, own)] = m / m.max((1, 2), keepdims=True)
+        return over
 
     def _chunks(self, some: np.ndarray):
         """(stretches, tokens, real) with a row for each place; places after a stretch's end have a token that every state emits."""
@@ -197,51 +244,57 @@ class Sequences:
             n = int(self.length[order[at]])
             own = order[at : at + max(1, AT_ONCE // n)]
             real = np.arange(n)[:, None] < self.length[own]
-            yield own, np.where(real, self.tokens[np.minimum(self.begin[own] + np.arange(n)[:, None], len(self.tokens) - 1)], len(self.emit) - 1), real
+            yield own, np.where(real, sliding_window_view(self.tokens, n)[self.begin[own]].T, len(self.emit) - 1), real
             at += len(own)
 
     def scores(self, texts: int) -> np.ndarray:
         """The log10 probability of each text, by the scaled forward recursion."""
         out = np.zeros(texts)
         for own, w, real in self._chunks(np.arange(len(self.text))):
-            x, log = self.pre[own], np.zeros(len(own))
+            x, log, columns = self.pre[own].T, np.zeros(len(own)), real.sum(1)  # the longest come first, so the real ones of a place do too
             for s in range(len(w)):
-                x = (x if s == 0 else x @ self.moves) * self.emit[w[s]]
-                total = x.sum(1)
-                log += np.log10(total) * real[s]
-                x /= total[:, None]
-            np.add.at(out, self.text[own], log)
+                x = (x if s == 0 else self.moves.T @ x) * self.emit.take(w[s], 0).T
+                total = x.sum(0)
+                log[: columns[s]] += np.log(total[: columns[s]])
+                x /= total
+            np.add.at(out, self.text[own], log / np.log(10))
         return out
 
     def expect(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expectations by token number and state, of first states and of transitions, and the natural log of the likelihood."""
+        """Expectations by token number and state, of first states and of transitions, and the natural log of the likelihood.
+
+        States stand in rows and stretches in columns, so that sums over states and factors of stretches go along whole rows.
+        """
+        self._carry_back()
         k = len(self.model.start)
-        by_word, start, moves, log = np.zeros((len(self.emit), k)), np.zeros(k), np.zeros((k, k)), 0.0
+        by_word, start, moves, log = np.zeros((k, len(self.emit))), np.zeros(k), np.zeros((k, k)), 0.0
         for own, w, real in self._chunks(np.arange(len(self.text))):
-            n, first = len(w), self.place[own] == 0
-            e = self.emit[w]
-            a, scale = np.empty_like(e), np.empty((n, len(own)), self.kind)
-            x = self.pre[own]
+            n, first, columns = len(w), self.place[own] == 0, real.sum(1)
+            e, a = (np.empty((n, k, len(own)), self.kind) for _ in range(2))
+            scale = np.empty((n, len(own)), self.kind)
+            x = self.pre[own].T
             for s in range(n):
-                x = (x if s == 0 else a[s - 1] @ self.moves) * e[s]
-                scale[s] = x.sum(1)
-                a[s] = x / scale[s][:, None]
-            log += float(np.log(scale, where=real, out=np.zeros(scale.shape)).sum())
-            beta = self.after[own] / (a[n - 1] * self.after[own]).sum(1, keepdims=True)
+                e[s] = self.emit.take(w[s], 0).T
+                x = (x if s == 0 else self.moves.T @ a[s - 1]) * e[s]
+                x.sum(0, out=scale[s])
+                np.divide(x, scale[s], out=a[s])
+            log += float((np.log(scale) * real).sum(dtype=float))
+            beta = self.after[own].T
+            beta = beta / (a[n - 1] * beta).sum(0)
             for s in range(n - 1, -1, -1):
-                g = a[s] * beta
-                follows = e[s] * beta / scale[s][:, None]
-                e[s] = g / g.sum(1, keepdims=True)  # what was emitted isn't needed any more
+                g, follows = a[s] * beta, e[s] * beta
+                follows /= scale[s]
+                np.divide(g, g.sum(0), out=e[s])  # what was emitted isn't needed any more
                 if s:
-                    moves += (a[s - 1] * real[s][:, None]).T @ follows
-                    beta = follows @ self.moves.T
+                    moves += a[s - 1][:, : columns[s]] @ follows[:, : columns[s]].T
+                    beta = self.moves @ follows
                 else:
-                    start += e[0][first].sum(0)
-                    moves += self.before[own][~first].T @ follows[~first]
+                    start += e[0][:, first].sum(1)
+                    moves += self.before[own][~first].T @ follows[:, ~first].T
             flat = w.ravel()
             for q in range(k):
-                by_word[:, q] += np.bincount(flat, e[:, :, q].ravel(), len(self.emit))
-        return by_word[:-1], start, moves * self.model.moves, log
+                np.add.at(by_word[q], flat, e[:, q].ravel().astype(float))
+        return by_word.T[:-1].copy(), start, moves * self.model.moves, log
 
 
 def _with_ends(b: Block, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -113,6 +113,44 @@ def test_expectations_of_whole_sequences(monkeypatch, at_once):
     assert all(np.allclose(g, w, rtol=1e-3, atol=1e-4) for g, w in zip(narrow, got.expect(), strict=True))
 
 
+@pytest.mark.parametrize("many", [1, 3, 64])
+def test_carried_by_vectors_or_matrices(monkeypatch, many):
+    """Texts of more than so many stretches are carried over by matrices, the others by vectors: counts and scores are the same."""
+    monkeypatch.setattr(language_model, "STRETCH", 7)
+    monkeypatch.setattr(language_model, "MANY", many)
+    rng = np.random.default_rng(6)
+    lengths = np.array([1, 15, 140, 21, 22, 7, 50, 14])
+    tokens = rng.integers(0, 9, lengths.sum())
+    emit, start, moves = rng.dirichlet(np.ones(9), 4).T, rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4)
+    want = [whole(x, emit, start, moves) for x in np.split(tokens, np.cumsum(lengths)[:-1])]
+    got = language_model.Sequences(tokens, lengths, emit, Model(1, 1, 1, start, moves), np.float64)
+    assert np.allclose(got.scores(len(lengths)), [w[3] / np.log(10) for w in want], rtol=1e-12)
+    for g, w in zip(got.expect(), [sum(x) for x in zip(*want, strict=True)], strict=True):
+        assert np.allclose(g, w, rtol=1e-9)
+
+
+class Counted(np.ndarray):
+    """Transitions that count the multiplications of their products."""
+
+    done = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+        out = getattr(ufunc, method)(*[x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs], **kw)
+        if ufunc is np.matmul:
+            Counted.done += out.size * inputs[0].shape[-1]
+        return out
+
+
+def test_work_of_texts_of_some_stretches(monkeypatch):
+    """Eight states, four stretches a text: vectors go over a token four times at most, matrices would take eight times one's work."""
+    monkeypatch.setattr(Counted, "done", 0)
+    rng = np.random.default_rng(7)
+    lengths = np.full(6, 4 * language_model.STRETCH)
+    emit, moves = rng.dirichlet(np.ones(50), 8).T, rng.dirichlet(np.ones(8), 8).view(Counted)
+    language_model.Sequences(rng.integers(0, 50, lengths.sum()), lengths, emit, Model(1, 1, 1, np.ones(8) / 8, moves)).expect()
+    assert 0 < Counted.done <= 4 * 64 * lengths.sum()
+
+
 def brute_hmm(rows, k, rounds, salts):
     """Baum-Welch and forward scores over lists of words, every word with emissions of its own."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
