@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import NO_ID, column, dealt, id_map, lean, map_bits, marked, mix, pack, parts_for, saved, table, trim, unpack
+from .base import NO_ID, column, dealt, id_map, lean, lean_group, map_bits, marked, mix, pack, parts_for, saved, table, trim, unpack
 from .wordblocks import spans
 
 LENGTH, GRAM = 100, 32
@@ -31,6 +31,8 @@ WINDOW = LENGTH - GRAM + 1
 SEGMENT = 1 << 19
 #: Bytes of texts in a block, and for each part and home.
 GROUP_BYTES = 8 << 20
+#: Bytes of runs that are refined at a time, which takes up to 50 times as much memory; runs of one gram stay together, however many.
+REFINE_BYTES = 1 << 19
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * c) for c in _C[:2]]
 #: Bytes of the initial buckets.
@@ -57,26 +59,35 @@ def suffix_buckets(data: np.ndarray) -> np.ndarray:
     n = len(data) - Q + 1
     if n < 1:
         return np.empty(0, np.int64)
+    whole = np.int32 if n < 1 << 31 else np.int64
     key = np.zeros(n, np.uint64)
     for k in range(Q):
-        key = (key << np.uint64(8)) | data[k : k + n]
-    order = np.argsort(key)
-    pointer = np.empty(n, np.int64)
-    first = np.r_[True, key[order][1:] != key[order][:-1]]
-    pointer[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        key <<= np.uint64(8)
+        key |= data[k : k + n]
+    order = np.argsort(key).astype(whole)
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    del key
+    pointer = np.empty(n, whole)
+    pointer[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=whole), whole(0)))
+    del order, first
     depth = Q
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
-        several = np.bincount(pointer, minlength=n)[pointer] > 1
-        own = np.flatnonzero(several[: max(0, n - step)])
+        several = (np.bincount(pointer, minlength=n) > 1)[pointer]
+        own = np.flatnonzero(several[: max(0, n - step)]).astype(whole)
+        del several
+        sort = np.argsort(pointer[own].astype(np.int64) * n + pointer[own + step])
+        own = own[sort]
+        del sort
         at, later = pointer[own], pointer[own + step]
-        sort = np.argsort(at * n + later)
-        own, at, later = own[sort], at[sort], later[sort]
         bucket = np.r_[True, at[1:] != at[:-1]][: len(own)]
         split = bucket | np.r_[True, later[1:] != later[:-1]][: len(own)]
-        place = np.arange(len(own))
-        begin = np.maximum.accumulate(np.where(bucket, place, 0))
-        pointer[own] = at + np.maximum.accumulate(np.where(split, place, 0)) - begin
+        del later
+        place = np.arange(len(own), dtype=whole)
+        at += np.maximum.accumulate(np.where(split, place, whole(0)))
+        at -= np.maximum.accumulate(np.where(bucket, place, whole(0)))
+        pointer[own] = at
         depth += step
     return pointer
 
@@ -204,9 +215,9 @@ def _by_home(homes: np.ndarray, arrays: list[np.ndarray]) -> tuple[list, list]:
     return homes[order[cut]].tolist(), [pack(*[a[r] for a in arrays]) for r in np.split(order, cut[1:])] if len(cut) else []
 
 
+@lean_group
 def _sort_out(t: pa.Table) -> pa.Table:
     """Of a part's runs: the repeats, and what must be refined, by the home of the document."""
-    trim()
     blobs = [unpack(x) for x in t["runs"].to_pylist()]
     ids, numbers, homes, first, count, before, name, content, check, *known = (np.concatenate(x) for x in zip(*blobs, strict=True))
     rows = _repeated(name)
@@ -250,8 +261,8 @@ def _per_document(ids: np.ndarray, numbers: np.ndarray):
 def _fetch(parts: int):
     """cogroup of texts and runs to refine: the runs with their bytes, a blob for each part."""
 
+    @lean_group
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        trim()
         blobs = [unpack(x) for x in right["flags"].to_pylist()]
         home = right["home"][0].as_py() if right.num_rows else 0
         out: tuple[list, list] = ([], [])
@@ -276,11 +287,17 @@ def _fetch(parts: int):
     return run
 
 
-def _refine(t: pa.Table) -> pa.Table:
-    """Of the strings of a part's runs: those that also start earlier, by the home of the document. Equal strings have the same gram and part."""
-    trim()
-    ids, numbers, homes, first, count, name, data = (np.concatenate(x) for x in zip(*[unpack(x) for x in t["runs"].to_pylist()], strict=True))
-    count = count.astype(np.int64)
+def _pieces(name: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Rows in pieces of some REFINE_BYTES, all those of a name in one."""
+    order = np.argsort(name, kind="stable")
+    begin = np.cumsum(sizes[order]) - sizes[order]
+    group = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]][: len(order)])
+    cut = group[1:][np.diff(begin[group] // REFINE_BYTES) != 0]
+    return np.split(order, cut) if len(order) else []
+
+
+def _again(ids: np.ndarray, numbers: np.ndarray, first: np.ndarray, count: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run, first, count) of the strings of runs that also start earlier in one of them; data: the bytes of the runs, one after the other."""
     begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
     run = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
@@ -289,23 +306,36 @@ def _refine(t: pa.Table) -> pa.Table:
     r, at = run[rows], first[run[rows]].astype(np.int64) + step[rows]
     order = np.lexsort((at, numbers[r], ids[r], string[rows]))
     s, r, at = string[rows][order], r[order], at[order]
-    if not len(s):
-        return pa.table({"home": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "flags": pa.array([], pa.binary())})
-    lead = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(s)), 0))
+    lead = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]][: len(s)], np.arange(len(s)), 0))
     later = (ids[r] != ids[r[lead]]) | (numbers[r] != numbers[r[lead]]) | (at != at[lead])
     r, at = r[later], at[later]
     # neighbouring strings of a run as one
     sort = np.lexsort((at, r))
     r, at = r[sort], at[sort]
     cut = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(at) != 1)][: len(r)])
-    n = np.diff(np.r_[cut, len(r)]).astype(np.uint8)
-    k, v = _by_home(homes[r[cut]], [ids[r[cut]], numbers[r[cut]], at[cut].astype(np.uint32), n])
+    return r[cut], at[cut].astype(np.uint32), np.diff(np.r_[cut, len(r)]).astype(np.uint8)
+
+
+@lean_group
+def _refine(t: pa.Table) -> pa.Table:
+    """Of the strings of a part's runs: those that also start earlier, by the home of the document. Equal strings have the same gram and part."""
+    ids, numbers, homes, first, count, name, data = (np.concatenate(x) for x in zip(*[unpack(x) for x in t["runs"].to_pylist()], strict=True))
+    count = count.astype(np.int64)
+    sizes = count + LENGTH - 1
+    end = np.cumsum(sizes)
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint8))]
+    for own in _pieces(name, sizes):
+        texts = np.concatenate([data[a:z] for a, z in zip((end - sizes)[own].tolist(), end[own].tolist(), strict=True)])
+        r, at, n = _again(ids[own], numbers[own], first[own], count[own], texts)
+        found.append((own[r], at, n))
+    r, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    k, v = _by_home(homes[r], [ids[r], numbers[r], at, n])
     return pa.table({"home": pa.array(k, pa.int32()), "kind": pa.array([0] * len(k), pa.int32()), "flags": pa.array(v, pa.binary())})
 
 
+@lean_group
 def _remove(left: pa.Table, right: pa.Table, whole_characters: bool) -> pa.Table:
     """The texts of a home without their marked strings."""
-    trim()
     blobs = [unpack(x) for x in right["flags"].to_pylist()]
     marks = {}
     if blobs:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import dealt, id_and_text, pack, parts_for, saved, text_bytes, trim, unpack
+from .base import dealt, id_and_text, lean_group, pack, parts_for, saved, text_bytes, trim, unpack
 
 #: So many word positions of a block are turned into ids at a time.
 STEP = 400_000
@@ -144,12 +144,11 @@ def exchange(pieces: DataFrame, column: str, x: Exchange, n: int, more: str = ""
     def blobs(t: pa.Table) -> list:
         return [x.read(b) for b in t[column].to_pylist()]
 
+    @lean_group
     def at_once(t: pa.Table) -> pa.Table:
         own = blobs(t)
         state = x.merge([x.add(own)])
-        out = table(t["block"], t["part"], x.answer(state, own), x.extra(state) if x.extra else None)
-        trim()
-        return out
+        return table(t["block"], t["part"], x.answer(state, own), x.extra(state) if x.extra else None)
 
     def of_group(t: pa.Table) -> pa.Table:
         return pa.table({"part": t["part"][:1].cast(pa.int32()), "state": pa.array([x.dump(x.add(blobs(t)))], pa.binary())})
@@ -157,11 +156,10 @@ def exchange(pieces: DataFrame, column: str, x: Exchange, n: int, more: str = ""
     def of_part(t: pa.Table) -> pa.Table:
         return pa.table({"part": t["part"][:1].cast(pa.int32()), "state": pa.array([x.dump(x.merge([x.load(s) for s in t["state"].to_pylist()]))], pa.binary())})
 
+    @lean_group
     def of_blocks(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         state = x.load(right["state"][0].as_py())
-        out = table(left["block"], left["part"], x.answer(state, blobs(left)), x.extra(state) if x.extra and key[1].as_py() == right["first"][0].as_py() else None)
-        trim()
-        return out
+        return table(left["block"], left["part"], x.answer(state, blobs(left)), x.extra(state) if x.extra and key[1].as_py() == right["first"][0].as_py() else None)
 
     if groups == 1:
         return dealt(pieces, tasks, "part").groupBy("part").applyInArrow(at_once, schema)
@@ -255,8 +253,8 @@ def bring_back(blocks: DataFrame, values: list[DataFrame], finish: Callable[[Blo
     for r in rows[1:]:
         right = right.union(r)
 
+    @lean_group
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        trim()
         return finish(Block(left, right))
 
     return blocks.select("block", "docs").groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,71 @@ def test_edges_of_strings(spark):
     assert {k[2] for k in got if k[0] in (1, 2)} == {0, 101}
 
 
+def test_refinement_takes_bounded_memory():
+    """Runs of many grams, as a large corpus sends them to one part: what is refined at a time doesn't grow with them."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 101, (12_000, LENGTH + 40), np.uint8)
+    text[6_000:] = text[:6_000]
+    text[6_000:, -1] = 0  # all but the last string of each run come again
+    n = len(text)
+    gram = rng.permutation(n // 2).astype(np.uint64)
+    blob = base.pack(np.arange(n), np.zeros(n, np.uint64), np.full(n, 7, np.uint32), np.zeros(n, np.uint32), np.full(n, 41, np.uint8), np.r_[gram, gram], text.reshape(-1))
+    runs_of_part = exact_substrings.pa.table({"part": [0], "runs": exact_substrings.pa.array([blob], "binary")})
+    tracemalloc.start()
+    out = exact_substrings._refine(runs_of_part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    (home,), (found,) = out["home"].to_pylist(), out["flags"].to_pylist()
+    ids, _, first, count = base.unpack(found)
+    assert home == 7 and sorted(ids.tolist()) == list(range(n // 2, n))
+    assert not first.any() and (count == 40).all()
+    assert peak < 32 * text.size, peak / text.size
+
+
+@pytest.mark.parametrize("size", [1, 3_000])
+def test_refinement_in_pieces(size, monkeypatch):
+    """Several grams and strings that come again in each; a gram larger than a piece stays whole."""
+    rng = np.random.default_rng(4)
+    whole = rng.integers(97, 100, (20, LENGTH + 30), np.uint8)
+    n = 400
+    which, first, count = rng.integers(0, 20, n), rng.integers(0, 10, n), rng.integers(1, 20, n)
+    texts = [whole[w, a : a + c + LENGTH - 1] for w, a, c in zip(which, first, count, strict=True)]
+    doc = np.arange(n) // 2
+    blob = base.pack(doc, np.zeros(n, np.uint64), np.zeros(n, np.uint32), (1000 * (np.arange(n) % 2)).astype(np.uint32), count.astype(np.uint8), (which % 7).astype(np.uint64), np.concatenate(texts))
+    seen, expected = set(), set()
+    for i, t in enumerate(texts):
+        for k in range(count[i]):
+            s = t[k : k + LENGTH].tobytes()
+            if s in seen:
+                expected.add((i // 2, 1000 * (i % 2) + k))
+            seen.add(s)
+    monkeypatch.setattr(exact_substrings, "REFINE_BYTES", size)
+    out = exact_substrings._refine(exact_substrings.pa.table({"part": [0], "runs": exact_substrings.pa.array([blob], "binary")}))
+    ids, _, at, many = base.unpack(out["flags"][0].as_py())
+    assert sorted((i, a + k) for i, a, m in zip(ids.tolist(), at.tolist(), many.tolist(), strict=True) for k in range(m)) == sorted(expected)
+    assert len(expected) > 1000
+
+
+def test_idle_workers_keep_no_memory():
+    """What a group's function held is free when memory is given back."""
+    held, seen = [], []
+
+    class Large:
+        def __del__(self):
+            held.append(1)
+
+    def work(a, b):
+        large = Large()
+        return a, b, large is None
+
+    trim, base.trim = base.trim, lambda: seen.append(len(held))
+    try:
+        assert base.lean_group(work)(1, 2) == (1, 2, False)
+    finally:
+        base.trim = trim
+    assert seen == [1]
+
+
 def test_segments(spark, monkeypatch):
     monkeypatch.setattr(exact_substrings, "SEGMENT", 500)
     text = "".join(f"{i * i % 9973} " for i in range(2000))
